@@ -46,13 +46,31 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _best(words: Column, own: Column, shift: Column, width: Column) -> Column:
+    """struct n, doc, own: the most equal tokens in width neighbours of one alignment, and the negated places where they start; null if the overlap is shorter."""
+    low = F.greatest(F.lit(0), -shift)
+    high = F.least(F.size(own), F.size(words) - shift)
+    same = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get(words, j + shift) == F.get(own, j), 1).otherwise(0))
+
+    def over(equal: Column) -> Column:
+        def one(s: Column) -> Column:
+            n = F.aggregate(F.sequence(s, s + width - 1), F.lit(0), lambda a, k: a + F.get(equal, k))
+            return F.struct(n.alias("n"), (-(low + s + shift)).alias("doc"), (-(low + s)).alias("own"))
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.size(equal) - width), one))
+
+    # a lambda's variable, so that the comparison is made once
+    return F.when(high - low >= width, F.transform(F.array(same), over).getItem(0))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_similarity: float = MIN_SIMILARITY, stretch: int = STRETCH) -> DataFrame:
     """(key, item, doc_start, item_start, matched, compared, similarity): a row for each document and benchmark item that it holds.
 
     matched of compared aligned tokens are equal in the best stretch, and at
     least min_similarity of them are. Of several alignments of a pair the best
     is returned, ties by position. Items shorter than the longest mask carry no
-    seed of it, and items shorter than every mask are never reported.
+    seed of it, and items shorter than every mask are never reported. Texts that
+    share an item id are all looked for, under that id.
 
     Null or empty texts match nothing. Rows with a null key or item take part
     and keep the null. Repeated rows give one result a pair; an empty table
@@ -60,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     items = materialize(
-        benchmark.select(F.col(item).alias("item"), F.array_remove(tokens(F.col(item_text)), "").alias("own")).distinct(), "decontaminate-items"
+        benchmark.select(F.col(item).alias("item"), F.array_remove(tokens(F.col(item_text)), "").alias("own")).distinct().where(F.size("own") >= min(map(len, masks))), "decontaminate-items"
     )
     n_items = items.count()
     tests = (
@@ -73,34 +91,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         rows.select("key", F.posexplode(seeds(tokens(F.col("text")), masks)).alias("mask", "hashes"))
         .select("key", F.posexplode("hashes").alias("pos", "hash"))
     )
-    hits = seeded.join(_bounded(tests, tests.count()), "hash").select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    # a document has no more alignments with an item than it has tokens, so one row holds them
+    hits = seeded.join(_bounded(tests, tests.count()), "hash").groupBy("key", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
     hits = materialize(hits, "decontaminate-hits")
     ids = materialize(hits.select(F.col("key").alias("hit")).distinct(), "decontaminate-ids")
     texts = rows.join(_bounded(ids, ids.count()), F.col("key").eqNullSafe(F.col("hit")), "left_semi").select("key", tokens(F.col("text")).alias("words"))
     pairs = (
-        texts.join(hits.select(F.col("key").alias("hit"), F.col("item").alias("hit_item"), "shift"), F.col("key").eqNullSafe(F.col("hit")))
+        texts.join(hits.select(F.col("key").alias("hit"), F.col("item").alias("hit_item"), "shifts"), F.col("key").eqNullSafe(F.col("hit")))
         .join(_bounded(items, n_items), F.col("hit_item").eqNullSafe(F.col("item")))
     )
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("own"), F.size("words") - F.col("shift"))
     width = F.least(F.lit(stretch), F.size("own"))
-    pairs = pairs.select("key", "item", "shift", "words", "own", low.alias("low"), high.alias("high"), width.alias("width")).where(F.col("high") - F.col("low") >= F.col("width"))
-    same = F.transform(F.sequence("low", F.col("high") - 1), lambda j: F.when(F.get("words", j + F.col("shift")) == F.get("own", j), 1).otherwise(0))
-    pairs = pairs.select("key", "item", "shift", "low", "width", same.alias("same"), F.get("words", F.lit(0)).alias("head"))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("same") - F.col("width")),
-        lambda s: F.struct(F.aggregate(F.slice("same", s + 1, F.col("width")), F.lit(0), lambda a, x: a + x).alias("n"), (-s).alias("s")),
-    )
-    best = pairs.select("key", "item", "shift", "low", "width", F.array_max(each).alias("b"), (F.col("head") == "").cast("int").alias("blank"))
-    best = best.where(F.col("b.n") >= F.lit(min_similarity) * F.col("width"))
-    start = F.col("low") - F.col("b.s")
-    found = best.select(
-        "key", "item",
-        F.struct(
-            (F.col("b.n") / F.col("width")).alias("similarity"), F.col("b.n").alias("matched"),
-            (-(start + F.col("shift") - F.col("blank"))).alias("doc"), (-start).alias("own"), F.col("width").alias("compared"),
-        ).alias("b"),
-    ).groupBy("key", "item").agg(F.max("b").alias("b"))
+    best = F.array_max(F.transform("shifts", lambda shift: _best(F.col("words"), F.col("own"), shift, width)))
+    found = pairs.select("key", "item", width.alias("width"), best.alias("b"), (F.get("words", F.lit(0)) == "").cast("int").alias("blank"))
+    found = found.where(F.col("b.n") >= F.lit(min_similarity) * F.col("width"))
+    best = F.struct((F.col("b.n") / F.col("width")).alias("similarity"), F.col("b.n").alias("matched"), (F.col("b.doc") + F.col("blank")).alias("doc"), F.col("b.own").alias("own"), F.col("width").alias("compared"))
+    found = found.select("key", "item", best.alias("b")).groupBy("key", "item").agg(F.max("b").alias("b"))
     return found.select(
         F.col("key").alias(key), F.col("item").alias(item), (-F.col("b.doc")).cast("bigint").alias("doc_start"), (-F.col("b.own")).cast("bigint").alias("item_start"),
         F.col("b.matched").cast("bigint").alias("matched"), F.col("b.compared").cast("bigint").alias("compared"), F.col("b.similarity").alias("similarity"),

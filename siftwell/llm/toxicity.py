@@ -33,7 +33,10 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 #: Spellings that stand for letters.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None, "_": None})
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|*._-][^\W_])\S{3,24}(?!\S)")
+UPPER = re.compile("[" + "".join(chr(c) for c in range(0x10000) if chr(c).isupper()) + "]+")
+#: A sign that can stand for a letter, before a letter.
+HINT = re.compile(r"[\d@$!|*._-][^\W\d_]")
+MASKED_CHARS = 24
 FEATURES = (
     "hits", "hit_density", "distinct_hits", "best_weight", "stem_hits", "stem_density", "second_person_density", "nearest_second_person",
     "capital_share", "all_capital_words", "punctuation_share", "exclamation_share", "masked_density", "masked_hits", "log_words", "mean_word",
@@ -96,50 +99,76 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
     return out
 
 
-def vector(text: str | None, words: dict[str, float], stems: dict[str, float]) -> list[float]:
+class Kinds(dict):
+    """word -> what it is: IS_HIT, IS_STEM, IS_SECOND added up; filled as words come, emptied when large."""
+
+    IS_HIT, IS_STEM, IS_SECOND, MOST = 1, 2, 4, 300_000
+
+    def __init__(self, terms: dict[str, float]):
+        super().__init__()
+        self.words = {t: v for t, v in terms.items() if not t.endswith("*")}
+        self.stems = {t[:-1] for t in terms if t.endswith("*")}
+
+    def __missing__(self, w: str) -> int:
+        stem = any(w[:k] in self.stems for k in STEMS)
+        self[w] = kind = self.IS_HIT * (w in self.words) + self.IS_STEM * stem + self.IS_SECOND * (w in SECOND_PERSON)
+        return kind
+
+
+def masked(text: str) -> list[str]:
+    """Words of up to MASKED_CHARS signs in which something stands for a letter."""
+    out, end = [], 0
+    for m in HINT.finditer(text):
+        if m.start() < end:
+            continue
+        a, end = m.start(), m.end()
+        while a and not text[a - 1].isspace() and end - a <= MASKED_CHARS:
+            a -= 1
+        while end < len(text) and not text[end].isspace() and end - a <= MASKED_CHARS:
+            end += 1
+        if end - a <= MASKED_CHARS and any(map(str.isalpha, text[a : m.start()])):
+            out.append(text[a:end])
+    return out
+
+
+def vector(text: str | None, kinds: Kinds) -> list[float]:
     """The features of one text, in the order of FEATURES; zeros for an empty one."""
     if not text:
         return [0.0] * len(FEATURES)
-    spelt = WORD.findall(text)
+    if len(kinds) > kinds.MOST:
+        kinds.clear()
     low = WORD.findall(text.lower())
-    n = max(1, len(low))
-    hit = [k for k, w in enumerate(low) if w in words]
-    stem = 0
-    if stems:
-        kinds = {w: any(w[:k] in stems for k in STEMS) for w in set(low)}
-        stem = sum(map(kinds.__getitem__, low))
-    second = [k for k, w in enumerate(low) if w in SECOND_PERSON]
+    n, letters = max(1, len(low)), len("".join(low))
+    marked = [(k, v) for k, v in enumerate(map(kinds.__getitem__, low)) if v]
+    hit = [k for k, v in marked if v & kinds.IS_HIT]
+    second = [k for k, v in marked if v & kinds.IS_SECOND]
+    stem = sum(1 for _, v in marked if v & kinds.IS_STEM)
     near = 0.0
     if hit and second:
         at = np.array(second)
         place = np.searchsorted(at, hit)
         gap = np.minimum(np.abs(at[np.minimum(place, len(at) - 1)] - hit), np.abs(at[np.maximum(place - 1, 0)] - hit))
         near = 1.0 / (1.0 + float(gap.min()))
-    masked = hidden = 0
-    for w in MASKED.findall(text):
-        masked += 1
-        hidden += "".join(WORD.findall(w.lower().translate(LOOKALIKE))) in words
-    letters = sum(map(len, spelt))
-    capitals = sum(1 for w in spelt if len(w) > 1 and w.isupper())
-    upper = sum(map(str.isupper, "".join(w[:1] for w in spelt))) + sum(len(w) - 1 for w in spelt if len(w) > 1 and w.isupper())
-    marks = len(text) - letters - text.count(" ") - text.count("\n")
+    hidden = masked(text)
+    found = sum("".join(WORD.findall(w.lower().translate(LOOKALIKE))) in kinds.words for w in hidden)
+    capitals = UPPER.findall(text)
+    marks = max(0, len(text) - letters - text.count(" ") - text.count("\n"))
     return [
-        float(len(hit)), 100.0 * len(hit) / n, float(len({low[k] for k in hit})), max((words[low[k]] for k in hit), default=0.0), float(stem), 100.0 * stem / n,
-        100.0 * len(second) / n, near, upper / max(1, letters), capitals / n, marks / len(text), text.count("!") / len(text), 100.0 * masked / n, float(hidden), math.log1p(len(low)), letters / n,
+        float(len(hit)), 100.0 * len(hit) / n, float(len({low[k] for k in hit})), max((kinds.words[low[k]] for k in hit), default=0.0), float(stem), 100.0 * stem / n,
+        100.0 * len(second) / n, near, len("".join(capitals)) / max(1, letters), sum(len(c) > 1 for c in capitals) / n, marks / len(text), text.count("!") / len(text), 100.0 * len(hidden) / n, float(found), math.log1p(len(low)), letters / n,
     ]
 
 
 def featured(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
     """Adds features array<double> from the column text, dropped; other columns stay."""
     ship(rows.sparkSession)
-    words = {t: v for t, v in terms.items() if not t.endswith("*")}
-    stems = {t[:-1]: v for t, v in terms.items() if t.endswith("*")}
     kept = [f for f in rows.schema if f.name != "text"]
     names = [f.name for f in kept]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = Kinds(terms)
         for batch in batches:
-            found = [vector(x, words, stems) for x in batch.column("text").to_pylist()]
+            found = [vector(x, kinds) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features"])
 
     return rows.mapInArrow(make, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "features array<double>"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, fulltext, fusion, metrics, vectors
+from ..operators import context, fulltext, fusion, metrics, vector_index, vectors
 from .registry import query, table
 
 ALPHAS = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -114,6 +114,14 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbours(v.where(F.col("label").isin(*KINDS)), _asked(v), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours through the index of cells: every row is indexed, a test holds its recall against the exact search."""
+    v = table(spark, sf_dir, "embeddings")
+    cells = vector_index.fit_cells(v)
+    return vector_index.search(vector_index.placed(v, cells), cells, _asked(v), 20).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(f"WITH {BM25}, {SEMANTIC}, {FUSED} SELECT item_id, doc_id, rank, rrf_score, semantic_score, keyword_score FROM top")
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir).select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "rrf_score", "semantic_score", "keyword_score")

@@ -159,3 +159,15 @@ def test_embedder_is_deterministic_and_unit(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "")], "id bigint, t string")
     got = {r.id: r.embedding for r in vectors.embedded(df, "id", "t").collect()}
     assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1, abs=1e-6) and set(got[3]) == {0.0}
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_index_recall(spark, folder):
+    from siftwell.plans.registry import QUERIES
+
+    import siftwell.plans  # noqa: F401
+
+    exact = {(r.query_id, r.vec_id) for r in QUERIES["knn_cosine_topk"](spark, f"/root/testdata/{folder}").collect()}
+    found = QUERIES["knn_indexed"](spark, f"/root/testdata/{folder}").collect()
+    assert len({(r.query_id, r.vec_id) for r in found} & exact) / len(exact) >= 0.9
+    assert all(r.score == 1.0 for r in found if r.rank == 1)

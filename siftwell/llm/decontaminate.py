@@ -19,8 +19,8 @@ MASKS = ("11011", "1110011")
 MIN_SIMILARITY = 0.8
 #: An alignment is judged on its best stretch of so many tokens (the whole item, if shorter).
 STRETCH = 24
-#: Rows up to which the benchmark's hashes, its items and the hit documents' ids are broadcast.
-BROADCAST_ROWS = 500_000
+#: Entries of a few bytes up to which the benchmark's hashes, its tokens and the hit documents' hashes are broadcast.
+BROADCAST_ENTRIES = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -42,8 +42,8 @@ def seeds(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
     return F.transform(F.array(hashed), lambda h: F.array(*[of(h, k, m) for k, m in enumerate(masks)])).getItem(0)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, entries: int) -> DataFrame:
+    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
 
 
 def _best(words: Column, own: Column, shift: Column, width: Column) -> Column:
@@ -76,11 +76,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     and keep the null. Repeated rows give one result a pair; an empty table
     gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # documents go by the hash of their text, so that copies and rows without a key need no group of their own
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("doc", F.xxhash64("text"))
     items = materialize(
         benchmark.select(F.col(item).alias("item"), F.array_remove(tokens(F.col(item_text)), "").alias("own")).distinct().where(F.size("own") >= min(map(len, masks))), "decontaminate-items"
     )
-    n_items = items.count()
+    n_tokens = items.agg(F.coalesce(F.sum(F.size("own")), F.lit(0))).first()[0]
     tests = (
         items.select("item", F.posexplode(seeds(F.col("own"), masks)).alias("mask", "hashes"))
         .select("item", F.posexplode("hashes").alias("at", "hash"))
@@ -88,18 +89,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     )
     tests = materialize(tests, "decontaminate-seeds")
     seeded = (
-        rows.select("key", F.posexplode(seeds(tokens(F.col("text")), masks)).alias("mask", "hashes"))
-        .select("key", F.posexplode("hashes").alias("pos", "hash"))
+        rows.select("doc", F.posexplode(seeds(tokens(F.col("text")), masks)).alias("mask", "hashes"))
+        .select("doc", F.posexplode("hashes").alias("pos", "hash"))
     )
     # a document has no more alignments with an item than it has tokens, so one row holds them
-    hits = seeded.join(_bounded(tests, tests.count()), "hash").groupBy("key", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
-    hits = materialize(hits, "decontaminate-hits")
-    ids = materialize(hits.select(F.col("key").alias("hit")).distinct(), "decontaminate-ids")
-    texts = rows.join(_bounded(ids, ids.count()), F.col("key").eqNullSafe(F.col("hit")), "left_semi").select("key", tokens(F.col("text")).alias("words"))
-    pairs = (
-        texts.join(hits.select(F.col("key").alias("hit"), F.col("item").alias("hit_item"), "shifts"), F.col("key").eqNullSafe(F.col("hit")))
-        .join(_bounded(items, n_items), F.col("hit_item").eqNullSafe(F.col("item")))
-    )
+    hits = seeded.join(_bounded(tests, tests.count()), "hash").groupBy("doc", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+    hits = materialize(hits.withColumnRenamed("item", "hit_item"), "decontaminate-hits")
+    found = materialize(hits.select("doc").distinct(), "decontaminate-docs")
+    texts = rows.join(_bounded(found, found.count()), "doc", "left_semi").select("doc", "key", tokens(F.col("text")).alias("words"))
+    pairs = texts.join(hits, "doc").join(_bounded(items, n_tokens), F.col("hit_item").eqNullSafe(F.col("item")))
     width = F.least(F.lit(stretch), F.size("own"))
     best = F.array_max(F.transform("shifts", lambda shift: _best(F.col("words"), F.col("own"), shift, width)))
     found = pairs.select("key", "item", width.alias("width"), best.alias("b"), (F.get("words", F.lit(0)) == "").cast("int").alias("blank"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from siftwell.llm.decontaminate import MASKS, contaminated
 from siftwell.llm.queries import QUERIES
 
@@ -50,13 +51,13 @@ def test_beyond_the_broadcast_bound_the_result_is_the_same(spark, sf, monkeypatc
     from siftwell.llm import decontaminate
 
     want = sorted(map(tuple, QUERIES["op3_decontamination"](spark, sf).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ENTRIES", 0)
     assert sorted(map(tuple, QUERIES["op3_decontamination"](spark, sf).collect())) == want
 
 
 def test_edges(spark):
     rows = edge_docs(spark)
-    items = spark.createDataFrame([(1, "The cat sat on the mat and the dog ran away from the house today"), (1, None), (2, ""), (3, "too short"), (None, "word and more words word and more words word and more")], "item_id bigint, text string").withColumn("key", rows.limit(0).doc_id if False else __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1))
+    items = spark.createDataFrame([(1, "The cat sat on the mat and the dog ran away from the house today"), (1, None), (2, ""), (3, "too short"), (None, "word and more words word and more words word and more")], "item_id bigint, text string").withColumn("key", F.lit(1))
     got = {(r.doc_id, r.item_id): r for r in contaminated(rows, items).collect()}
     assert set(got) == {(1, 1), (5, 1), (4, None)}
     assert got[1, 1].doc_start == 0 and got[1, 1].similarity == 1.0

@@ -100,3 +100,42 @@ def page_text(sections: DataFrame, page: str) -> DataFrame:
     """One text a page: each section's heading after as many # as its level, then its text."""
     block = F.concat(F.repeat(F.lit("#"), F.greatest(F.col("level"), F.lit(1))), F.lit(" "), F.col("heading"), F.lit("\n"), F.col("text"))
     return joined(sections.withColumnRenamed("ordinal", "rank"), page, block, "\n\n", "page_text")
+
+
+def request_error(message: Column, model: Column, models: list[str], most: int = 2_000) -> Column:
+    """Why a chat request is refused: no message, one too long, an unknown model; null if it is accepted."""
+    return (
+        F.when(F.coalesce(F.length(message), F.lit(0)) < 1, "message is empty").when(F.length(message) > most, "message is too long").when(model.isNotNull() & ~model.isin(models), "unknown model")
+    )
+
+
+def first_source(results: DataFrame, key: str, sources: list[DataFrame], text: str = "text") -> DataFrame:
+    """results with the row of the first source that knows the key, as a whole, and the text of the first that has one.
+
+    Each source has key, row struct and text. Keys that no source knows go.
+    """
+    out, rows, texts = results, [], []
+    for n, s in enumerate(sources):
+        out = out.join(s.select(key, F.col("row").alias(f"row_{n}"), F.nullif(F.col(text), F.lit("")).alias(f"text_{n}")), key, "left")
+        rows.append(F.col(f"row_{n}"))
+        texts.append(F.col(f"text_{n}"))
+    out = out.select(*results.columns, F.coalesce(*rows).alias("row"), F.coalesce(*texts).alias(text))
+    return out.where(F.col("row").isNotNull() | F.col(text).isNotNull())
+
+
+def image_candidates(questions: DataFrame, ranked_pages: DataFrame, page_images: DataFrame, query: str, most: int = 30) -> DataFrame:
+    """(query, place, local_filename): images of a question's own page, then of the pages found for it by rank, each file once, most of them.
+
+    questions: query, page; ranked_pages: query, page, rank; page_images: page, nth, local_filename.
+    """
+    order = questions.select(query, "page", F.lit(0).alias("rank")).unionByName(ranked_pages.select(query, "page", "rank"))
+    each = order.join(page_images, "page").groupBy(query, "local_filename").agg(F.min(F.struct("rank", "page", "nth")).alias("seen"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("seen", "local_filename"))
+    return each.withColumn("place", place).where(F.col("place") <= most).select(query, "place", "local_filename")
+
+
+def labelled_images(picks: DataFrame, candidates: DataFrame, query: str) -> DataFrame:
+    """Labels such as img3 that an answer names, mapped back to the candidate files; unknown labels go."""
+    named = candidates.select(query, F.concat(F.lit("img"), F.col("place").cast("string")).alias("label"), "local_filename")
+    asked = picks.select(query, F.posexplode("labels").alias("nth", "label"))
+    return asked.join(named, [query, "label"]).select(query, "nth", "local_filename")

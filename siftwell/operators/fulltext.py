@@ -59,8 +59,16 @@ def top_k(scored: DataFrame, group: str, order: list, k: int) -> DataFrame:
 
 def phrase_hits(docs: DataFrame, key: str, text: str, phrase: list[str]) -> DataFrame:
     """(key, hits): how often the words of a phrase stand side by side."""
-    words = T.tokens(F.col(text))
-    n = len(phrase)
-    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, n) == F.array(*[F.lit(w) for w in phrase]))
-    found = docs.select(key, words.alias("words")).where(F.size("words") >= n).select(key, F.size(at).cast("bigint").alias("hits"))
-    return found.where("hits > 0")
+
+    def hits(words):
+        def here(i):
+            out = F.get(words, i) == phrase[0]
+            for k, w in enumerate(phrase[1:], 1):
+                out = out & (F.get(words, i + k) == w)
+            return out
+
+        return F.size(F.filter(F.sequence(F.lit(0), F.size(words) - len(phrase)), here))
+
+    rows = docs.select(key, T.tokens(F.col(text)).alias("words")).where(F.size("words") >= len(phrase))
+    # a lambda's variable, so that the words are cut once
+    return rows.select(key, F.transform(F.array("words"), hits).getItem(0).cast("bigint").alias("hits")).where("hits > 0")

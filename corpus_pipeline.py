@@ -33,9 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    ids = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["found_id"]), "left_anti")
+    """Documents that hold a benchmark passage go; a row without an id goes by its own text."""
+    name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5("text")))
+    found = decontaminate.contaminated(docs.select(name.alias("name"), "text"), table(spark, sf_dir, "benchmark"), key="name")
+    return docs.join(found.select(F.col("name").alias("found_name")).distinct(), name == F.col("found_name"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

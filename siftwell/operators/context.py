@@ -65,8 +65,8 @@ def recent_history(messages: DataFrame, conversation: str, turn: str, size: int
 
 def regenerated(messages: DataFrame, conversation: str, turn: str, role: str = "role") -> DataFrame:
     """What stays before the last user message when an answer is made anew."""
-    last = F.max(F.when(F.col(role) == "user", F.col(turn))).over(Window.partitionBy(conversation))
-    return messages.withColumn("last_user", last).where(F.col(turn) < F.col("last_user")).drop("last_user")
+    last = messages.where(F.col(role) == "user").groupBy(conversation).agg(F.max(turn).alias("last_user"))
+    return messages.join(last, conversation).where(F.col(turn) < F.col("last_user")).drop("last_user")
 
 
 def prompt(history: DataFrame, questions: DataFrame, conversation: str, turn: str, system: str) -> DataFrame:

@@ -46,9 +46,7 @@ def near_duplicates_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS class FROM documents")
 def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
-    least = rows.groupBy("h").agg(F.min("doc_id").alias("class"))
-    return rows.join(least, "h").select("doc_id", "class")
+    return quality.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUESTIONS = r"""questions AS (

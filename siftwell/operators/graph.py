@@ -50,6 +50,8 @@ def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siftwell-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"

@@ -17,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a folder of our own is made and set.
+    It is the cluster's spark.checkpoint.dir; only where that is unset and
+    everything runs in one process, as in tests, a folder of our own is made and
+    set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siftwell-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -25,6 +25,7 @@ MAX_N = 4
 SAMPLE_PER_LANG = 3_000
 MAX_LANGS = 2_000
 CHUNK = 1 << 20
+SLICE_ROWS = 512
 
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -108,13 +109,17 @@ class Ranker:
         for j, name in enumerate(self.names):
             self.places[np.searchsorted(self.codes, known[name]), j] = np.arange(len(known[name]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language or und, score): score is the winner's lead over the second, as a share of the second's distance."""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """(language or und, score, distance, n-grams ranked).
+
+        score is the winner's lead over the second, as a share of the second's
+        distance; distance is the winner's, as a share of the largest possible.
+        """
         if not text or not self.names or not any(map(str.isalpha, text)):
-            return "und", 0.0
+            return "und", 0.0, 1.0, 0
         own = ranking(*grams(text), self.top)
         if not len(own):
-            return "und", 0.0
+            return "und", 0.0, 1.0, 0
         at = np.searchsorted(self.codes, own)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != own)] = len(self.codes)
         place = self.places[at]
@@ -122,13 +127,13 @@ class Ranker:
         order = np.argsort(apart, kind="stable")
         best = int(apart[order[0]])
         rest = int(apart[order[1]]) if len(order) > 1 else self.top * len(own)
-        return self.names[order[0]], (rest - best) / rest if rest else 0.0
+        return self.names[order[0]], (rest - best) / rest if rest else 0.0, best / (self.top * len(own)), len(own)
 
 
 def identify(docs: DataFrame, known: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", top: int = TOP, keep: bool = False) -> DataFrame:
-    """(key, held_out, lang_pred, score) of every row, from its text alone; with keep also row, a struct of all its columns.
+    """(key, held_out, lang_pred, score, distance, n_grams) of every row, from its text alone; with keep also row, a struct of all its columns.
 
-    Null texts and texts without a letter: und, score 0; so is every text if no
+    Null texts and texts without a letter: und, score 0, distance 1; so is every text if no
     profile is known. Equal distances: the language first by name. Repeated rows
     and null keys are kept (a null key's fold is that of the empty text); an
     empty table gives an empty result; other columns are not read.
@@ -140,11 +145,11 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], key: str = "doc_id",
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(known, top)
-        for batch in batches:
-            found = [ranker.predict(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), *batch.columns[3:]],
-                names=["key", "held_out", "lang_pred", "score", *batch.schema.names[3:]],
-            )
-
-    return rows.mapInArrow(rank, f"key {kind}, held_out boolean, lang_pred string, score double{more}").withColumnRenamed("key", key)
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(a, SLICE_ROWS)
+                found = list(zip(*(ranker.predict(x) for x in batch.column(2).to_pylist())))
+                made = [pa.array(f, t) for f, t in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[3:]], names=["key", "held_out", "lang_pred", "score", "distance", "n_grams", *batch.schema.names[3:]])
+
+    return rows.mapInArrow(rank, f"key {kind}, held_out boolean, lang_pred string, score double, distance double, n_grams bigint{more}").withColumnRenamed("key", key)

@@ -41,9 +41,9 @@ def test_language_distance_against_brute_force():
     ranker = language_id.Ranker(known, 50)
     for text in ("the dog is with the cat", "die katze ist hier", "Ünder thé hat"):
         d = {k: brute_distance(text, v, 50) for k, v in known.items()}
-        name, score = ranker.predict(text)
+        name, score, distance, n = ranker.predict(text)
         best, rest = sorted(d.values())
-        assert d[name] == best and score == pytest.approx((rest - best) / rest)
+        assert distance == pytest.approx(best / (50 * n)) and d[name] == best and score == pytest.approx((rest - best) / rest)
 
 
 def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):

@@ -34,6 +34,16 @@ def test_stages_on_a_whole_table(spark, tmp_path):
     assert p.run(spark, sf).count() == len(pieces)
 
 
+def test_texts_of_no_known_language_go(spark, sf):
+    import random
+
+    docs, rnd = spark.read.parquet(f"{sf}/documents.parquet"), random.Random(1)
+    rows = [(10_001, "Съешь ещё этих мягких французских булок, да выпей чаю. " * 8), (10_002, " ".join("".join(rnd.choices("zqxvkjw", k=6)) for _ in range(200))), (10_003, "kurz"), (10_004, "?!"), (10_005, None)]
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(k, t, None, "x", 0) for k, t in rows], docs.schema))
+    kept = {r.doc_id for r in p.drop_unidentified(spark, more, sf).collect()}
+    assert {r.doc_id for r in docs.collect()} <= kept and kept & {k for k, _ in rows} == {10_003}
+
+
 def test_stages_on_edges(spark, sf):
     rows = edge_docs(spark)
     for name, stage in p.STAGES:

@@ -10,6 +10,8 @@ from siftwell.llm.common import materialize, table
 
 #: SQL cannot express trained models; tests compare the stages with brute force.
 ORACLE_SQL = None
+#: When a text resembles no known language.
+FAR, LEAST_GRAMS = 0.85, 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go: null texts and texts without letters."""
+    """Documents without an identified language go.
+
+    Those are null texts, texts without letters, and texts of at least
+    LEAST_GRAMS ranked n-grams that are about as far from every known language
+    as can be: FAR of the largest distance. Mixed or short texts stay.
+    """
     found = language_id.identify(docs, language_id.profiles(docs), keep=True)
-    return found.where("lang_pred <> 'und'").select("row.*")
+    return found.where((F.col("lang_pred") != "und") & ((F.col("distance") < FAR) | (F.col("n_grams") < LEAST_GRAMS))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def fold_of(key: Column) -> Column:
     """crc32 of the key as text, modulo 5; null keys take the remainder of the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns' names so that dots in them are no paths."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]

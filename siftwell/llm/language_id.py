@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import fold_of
+from .common import fold_of, quoted
 
 TOP = 400
 MAX_N = 4
@@ -139,9 +140,9 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], key: str = "doc_id",
     empty table gives an empty result; other columns are not read.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), (fold_of(F.col(key)) == 0).alias("held_out"), F.col(text).cast("string").alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
-    kind = rows.schema["key"].dataType.simpleString()
-    more = f", row {rows.schema['row'].dataType.simpleString()}" if keep else ""
+    rows = docs.select(F.col(key).alias("key"), (fold_of(F.col(key)) == 0).alias("held_out"), F.col(text).cast("string").alias("text"), *([F.struct(*quoted(docs)).alias("row")] if keep else []))
+    added = "lang_pred string, score double, distance double, n_grams bigint"
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL(added).fields, *rows.schema.fields[3:]])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(known, top)
@@ -152,4 +153,4 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], key: str = "doc_id",
                 made = [pa.array(f, t) for f, t in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[3:]], names=["key", "held_out", "lang_pred", "score", "distance", "n_grams", *batch.schema.names[3:]])
 
-    return rows.mapInArrow(rank, f"key {kind}, held_out boolean, lang_pred string, score double, distance double, n_grams bigint{more}").withColumnRenamed("key", key)
+    return rows.mapInArrow(rank, schema).withColumnRenamed("key", key)

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import fold_of, materialize
+from .common import fold_of, materialize, quoted
 
 #: Training bound: about so many labelled texts of either class, drawn by a hash of the key.
 SAMPLE_PER_CLASS = 12_000
@@ -37,6 +38,7 @@ UPPER = re.compile("[" + "".join(chr(c) for c in range(0x10000) if chr(c).isuppe
 #: A sign that can stand for a letter, before a letter.
 HINT = re.compile(r"[\d@$!|*._-][^\W\d_]")
 MASKED_CHARS = 24
+SLICE_ROWS = 512
 FEATURES = (
     "hits", "hit_density", "distinct_hits", "best_weight", "stem_hits", "stem_density", "second_person_density", "nearest_second_person",
     "capital_share", "all_capital_words", "punctuation_share", "exclamation_share", "masked_density", "masked_hits", "log_words", "mean_word",
@@ -100,9 +102,9 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
 
 
 class Kinds(dict):
-    """word -> what it is: IS_HIT, IS_STEM, IS_SECOND added up; filled as words come, emptied when large."""
+    """word -> what it is: IS_HIT, IS_STEM, IS_SECOND added up; filled as words come, up to MOST of them."""
 
-    IS_HIT, IS_STEM, IS_SECOND, MOST = 1, 2, 4, 300_000
+    IS_HIT, IS_STEM, IS_SECOND, MOST = 1, 2, 4, 200_000
 
     def __init__(self, terms: dict[str, float]):
         super().__init__()
@@ -111,7 +113,9 @@ class Kinds(dict):
 
     def __missing__(self, w: str) -> int:
         stem = any(w[:k] in self.stems for k in STEMS)
-        self[w] = kind = self.IS_HIT * (w in self.words) + self.IS_STEM * stem + self.IS_SECOND * (w in SECOND_PERSON)
+        kind = self.IS_HIT * (w in self.words) + self.IS_STEM * stem + self.IS_SECOND * (w in SECOND_PERSON)
+        if len(self) < self.MOST:
+            self[w] = kind
         return kind
 
 
@@ -135,8 +139,6 @@ def vector(text: str | None, kinds: Kinds) -> list[float]:
     """The features of one text, in the order of FEATURES; zeros for an empty one."""
     if not text:
         return [0.0] * len(FEATURES)
-    if len(kinds) > kinds.MOST:
-        kinds.clear()
     low = WORD.findall(text.lower())
     n, letters = max(1, len(low)), len("".join(low))
     marked = [(k, v) for k, v in enumerate(map(kinds.__getitem__, low)) if v]
@@ -167,11 +169,13 @@ def featured(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = Kinds(terms)
-        for batch in batches:
-            found = [vector(x, kinds) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(a, SLICE_ROWS)
+                found = [vector(x, kinds) for x in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features"])
 
-    return rows.mapInArrow(make, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "features array<double>"]))
+    return rows.mapInArrow(make, T.StructType([*kept, T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 class Model:
@@ -224,7 +228,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = docs.select(F.col(key).alias("key"), (fold_of(F.col(key)) == 0).alias("held_out"), F.col(text).cast("string").alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
+    rows = docs.select(F.col(key).alias("key"), (fold_of(F.col(key)) == 0).alias("held_out"), F.col(text).cast("string").alias("text"), *([F.struct(*quoted(docs)).alias("row")] if keep else []))
     kept = ["row"] if keep else []
     if model.trees is None:
         out = rows.withColumn("score", F.lit(float(model.constant)))

@@ -1,4 +1,8 @@
-"""Training-data pipeline: toxicity, language, near-duplicates, benchmark passages, packing."""
+"""Training-data pipeline: toxicity, language, near-duplicates, benchmark passages, packing.
+
+Each stage but the last returns the columns of its input, whatever others there
+are beside those of documents, and an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, language_id, packing, simhash, toxicity
-from siftwell.llm.common import materialize, table
+from siftwell.llm.common import materialize, quoted, table
 
 #: SQL cannot express trained models; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -15,7 +19,12 @@ FAR, LEAST_GRAMS = 0.85, 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are scored 0.5 or more go; labels of the training folds teach the score."""
+    """Documents that are scored 0.5 or more go; labels of the training folds teach the score.
+
+    Each row is judged by its own text, a null one as an empty one, so that
+    repeated rows and rows without an id stay or go alike. Without labels of both
+    kinds nothing is scored high, unless all labels are toxic.
+    """
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=True)
     return scored.where("predicted = 0").select("row.*")
 
@@ -32,22 +41,25 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once; rows without an id stay, once a text."""
+    """Of each group of near-duplicates the document with the smallest id stays, once; rows without an id stay, once a text.
+
+    Texts without words, null ones too, are near-duplicates of one another.
+    """
     found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
     others = found.where("doc_id <> component_id").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(others.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL").join(others.distinct(), "doc_id", "left_anti").select(*quoted(docs))
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; a row without an id goes by its own text."""
+    """Documents that hold a benchmark passage go; a row without an id goes by its own text, null texts stay."""
     name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5("text")))
     found = decontaminate.contaminated(docs.select(name.alias("name"), "text"), table(spark, sf_dir, "benchmark"), key="name")
     return docs.join(found.select(F.col("name").alias("found_name")).distinct(), name == F.col("found_name"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 1024 tokens."""
+    """What is left, as pieces of sequences of 1024 tokens; a null or empty text is its end token alone."""
     return packing.packed(docs)
 
 

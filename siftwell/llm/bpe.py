@@ -15,9 +15,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The pattern by which byte-level BPE cuts a text (fixed values).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -113,14 +116,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def by_bytes(texts: list[str | None], budget: int):
-    """Slices (start, end) of about budget characters each; one long text may be a slice by itself."""
+def by_bytes(column: pa.Array, budget: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Slices (start, end, bytes of each) of a string column, of about budget bytes; one long text may be a slice by itself."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, total = 0, 0
-    for k, text in enumerate(texts):
-        size = len(text or "")
+    for k, size in enumerate(sizes):
         if total and total + size > budget:
-            yield start, k
+            yield start, k, sizes[start:k]
             start, total = k, 0
         total += size
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes), sizes[start:]

@@ -16,7 +16,7 @@ from .common import materialize
 
 WINDOW = 1024
 END_ID = 0
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 2_000_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -41,9 +41,8 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id
         code, part, total = encoder(vocabulary), TaskContext.get().partitionId(), 0
         width = code.dtype.itemsize
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, SLICE_CHARS):
-                ids = [np.array([*x, end_id], dtype=code.dtype).tobytes() for x in code.batch(texts[a:b])]
+            for a, b, _ in by_bytes(batch.column(1), SLICE_BYTES):
+                ids = [np.array([*x, end_id], dtype=code.dtype).tobytes() for x in code.batch(batch.column(1).slice(a, b - a).to_pylist())]
                 n = np.array([len(x) // width for x in ids], dtype=np.int64)
                 before = total + np.cumsum(n) - n
                 total += int(n.sum())

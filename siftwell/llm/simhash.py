@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .bpe import by_bytes
 from .common import materialize
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 SMALL = 24
-SLICE_CHARS = 2_000_000
 #: Byte positions of each index entry: for any two positions, one set has neither.
 POSITIONS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7))
 assert all(any(not {i, j} & set(p) for p in POSITIONS) for i, j in combinations(range(8), 2))

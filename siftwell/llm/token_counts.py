@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .bpe import by_bytes, encoder
 
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 2_000_000
 LIMIT = 512
 
 
@@ -20,7 +20,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, key: str = "doc
 
     vocabulary is the path of a tokenizers JSON file (default: the public
     byte-level 50k one). Each Arrow batch is dealt anew into slices of about
-    SLICE_CHARS characters, so that memory follows bytes, not rows, and long texts
+    SLICE_BYTES bytes, so that memory follows bytes, not rows, and long texts
     are cut at safe boundaries; only lengths leave the worker.
 
     Null and empty texts: 0 bytes, 0 tokens. Null keys and repeated rows are
@@ -38,12 +38,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, key: str = "doc
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, SLICE_CHARS):
-                part = texts[a:b]
-                n = pa.array([len(ids) for ids in code.batch(part)], pa.int64())
-                size = pa.array([len(t.encode()) if t else 0 for t in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, n], names=["key", "n_bytes", "n_tokens"])
+            for a, b, sizes in by_bytes(batch.column(1), SLICE_BYTES):
+                n = [len(ids) for ids in code.batch(batch.column(1).slice(a, b - a).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     out = rows.mapInArrow(count, f"key {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from .fulltext import bounded
+from .kept import kept
 
 MAX_LINKS = 100
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 50
@@ -45,20 +43,6 @@ def stats(edges: DataFrame, source: str) -> DataFrame:
     return per.agg(F.count("*").alias("pages"), F.sum("n").alias("links"), F.round(F.avg("n"), 6).alias("mean_links"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="siftwell-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pagerank(edges: DataFrame, source: str = "src", target: str = "dst", damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
     """(node, rank), as long as the sum of changes is over the tolerance, rounds at most.
 
@@ -66,9 +50,9 @@ def pagerank(edges: DataFrame, source: str = "src", target: str = "dst", damping
     their rank to all. Shares are summed before the shuffle, so a page with very
     many links in is no single task; lineage is cut every few rounds.
     """
-    e = _kept(edges.select(F.col(source).alias("s"), F.col(target).alias("d")))
+    e = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("d")))
     degree = e.groupBy("s").agg(F.count("*").alias("out"))
-    nodes = _kept(e.select(F.col("s").alias("node")).union(e.select("d")).distinct().join(degree, F.col("node") == F.col("s"), "left").select("node", "out"))
+    nodes = kept(e.select(F.col("s").alias("node")).union(e.select("d")).distinct().join(degree, F.col("node") == F.col("s"), "left").select("node", "out"))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
@@ -80,7 +64,7 @@ def pagerank(edges: DataFrame, source: str = "src", target: str = "dst", damping
         after = now.join(given, F.col("node") == F.col("d"), "left").crossJoin(F.broadcast(loose))
         after = after.select("node", "out", F.col("rank").alias("old"), (base + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if k % every == 0 or k == rounds:
-            after = _kept(after)
+            after = kept(after)
             if tolerance is not None and after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
                 now = after.drop("old")
                 break

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, language_id, packing, simhash, toxicity
+from siftwell.llm import decontaminate, language_id, packing, similar, toxicity
 from siftwell.llm.common import materialize, quoted, table
 
 #: SQL cannot express trained models; tests compare the stages with brute force.
@@ -43,10 +43,14 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once; rows without an id stay, once a text.
 
-    Texts without words, null ones too, are near-duplicates of one another.
+    Near-duplicates are texts whose five-word shingles have a Jaccard similarity
+    of 0.8 or more, and a group is what such links join. Texts without words,
+    null ones too, are near-duplicates of one another.
     """
-    found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    others = found.where("doc_id <> component_id").select("doc_id")
+    copy = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    found = similar.groups(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("who"), copy.alias("copy"), "text"))
+    least = found.groupBy("root").agg(F.min("who").alias("least"))
+    others = found.join(least, "root").where("who <> least").select(F.col("who").alias("doc_id"))
     named = docs.where("doc_id IS NOT NULL").join(others.distinct(), "doc_id", "left_anti").select(*quoted(docs))
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 

@@ -35,23 +35,26 @@ assert all(any(not {i, j} & set(p) for p in POSITIONS) for i, j in combinations(
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text; bit 1 where over half of the shingles' hashes have it; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of so many words, in order; a shorter text is one run, no words are none."""
     import xxhash
 
     words = text.translate(_LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], dtype=np.uint64)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     stops = (ends - 1)[shingle - 1 :].tolist()
-    n = len(starts)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text; bit 1 where over half of the shingles' hashes have it; no words: 0."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 200_000):
         counts += np.unpackbits(hashes[k : k + 200_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

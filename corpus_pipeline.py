@@ -41,18 +41,21 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once; rows without an id stay, once a text.
+    """Of each group of near-duplicates the row with the smallest id stays, once; rows without an id come last.
 
     Near-duplicates are texts whose five-word shingles have a Jaccard similarity
-    of 0.8 or more, and a group is what such links join. Texts without words,
-    null ones too, are near-duplicates of one another.
+    of 0.8 or more, and a group is what such links join. Rows are told apart by
+    id and text, so that of different texts with one id each is judged by itself.
+    Texts without words, null ones too, are near-duplicates of one another; rows
+    with neither id nor text hold nothing to compare, and one of them stays.
     """
-    copy = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    found = similar.groups(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("who"), copy.alias("copy"), "text"))
-    least = found.groupBy("root").agg(F.min("who").alias("least"))
-    others = found.join(least, "root").where("who <> least").select(F.col("who").alias("doc_id"))
-    named = docs.where("doc_id IS NOT NULL").join(others.distinct(), "doc_id", "left_anti").select(*quoted(docs))
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    copy = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    bare = docs["doc_id"].isNull() & docs["text"].isNull()
+    found = similar.groups(docs.where(~bare).select(F.col("doc_id").alias("who"), copy.alias("copy"), "text"))
+    first = F.min(F.struct(F.col("who").isNull().alias("last"), "who", "copy")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.col("first.who").alias("stay_who"), F.col("first.copy").alias("stay_copy"))
+    kept = docs.where(~bare).join(stay, copy.eqNullSafe(F.col("stay_copy")) & docs["doc_id"].eqNullSafe(F.col("stay_who")), "left_semi").select(*quoted(docs))
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(bare).dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_large_groups_against_brute_force(spark, monkeypatch, small, rounds, oft
     rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     want = brute_groups(texts)
     assert {r.doc_id for r in p.drop_near_duplicates(spark, rows, "").collect()} == set(want.values())
+
+
+def test_rows_without_an_id_are_searched(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    rows = [(7, text), (None, text), (None, near), (None, other), (None, other + " more"), (3, near)]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert (3, near) in kept and len(kept) == 2 and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2])
+    rows = [(1, text), (2, text), (2, other), (4, third), (4, third), (4, other[::-1])]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, text), (2, other), (4, third), (4, other[::-1])])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, language_id, packing, similar, toxicity
-from siftwell.llm.common import materialize, quoted, table
+from siftwell.llm.common import materialize, quoted, table, unused
 
 #: SQL cannot express trained models; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -53,16 +53,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bare = docs["doc_id"].isNull() & docs["text"].isNull()
     found = similar.groups(docs.where(~bare).select(F.col("doc_id").alias("who"), copy.alias("copy"), "text"))
     first = F.min(F.struct(F.col("who").isNull().alias("last"), "who", "copy")).alias("first")
-    stay = found.groupBy("root").agg(first).select(F.col("first.who").alias("stay_who"), F.col("first.copy").alias("stay_copy"))
-    kept = docs.where(~bare).join(stay, copy.eqNullSafe(F.col("stay_copy")) & docs["doc_id"].eqNullSafe(F.col("stay_who")), "left_semi").select(*quoted(docs))
+    who, what = unused(docs, "who"), unused(docs, "copy")
+    stay = found.groupBy("root").agg(first).select(F.col("first.who").alias(who), F.col("first.copy").alias(what))
+    kept = docs.where(~bare).join(stay, copy.eqNullSafe(F.col(what)) & docs["doc_id"].eqNullSafe(F.col(who)), "left_semi").select(*quoted(docs))
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(bare).dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; a row without an id goes by its own text, null texts stay."""
-    name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5("text")))
-    found = decontaminate.contaminated(docs.select(name.alias("name"), "text"), table(spark, sf_dir, "benchmark"), key="name")
-    return docs.join(found.select(F.col("name").alias("found_name")).distinct(), name == F.col("found_name"), "left_anti")
+    """Documents that hold a benchmark passage go, each by its own text, whatever its id; null texts stay."""
+    copy = F.unhex(F.md5(docs["text"]))
+    found = decontaminate.contaminated(docs.select(copy.alias("copy"), "text"), table(spark, sf_dir, "benchmark"), key="copy")
+    what = unused(docs, "copy")
+    return docs.join(found.select(F.col("copy").alias(what)).distinct(), copy == F.col(what), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,11 @@ def fold_of(key: Column) -> Column:
 def quoted(df: DataFrame) -> list[str]:
     """The columns' names so that dots in them are no paths."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

@@ -51,9 +51,8 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text; bit 1 where over half of the shingles' hashes have it; no words: 0."""
-    hashes = shingle_hashes(text, shingle)
+def print_of(hashes: np.ndarray) -> int:
+    """SimHash of shingles' hashes; bit 1 where over half of them have it; none: 0."""
     n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 200_000):
@@ -61,6 +60,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text."""
+    return print_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp bigint): the fingerprint as a signed 64-bit number; null texts count as empty."""
     ship(docs.sparkSession)

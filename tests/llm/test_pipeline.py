@@ -2,7 +2,7 @@ import corpus_pipeline as p
 from siftwell.llm.queries import QUERIES
 
 from .helpers import edge_docs, empty_docs
-from .test_simhash import brute_components, brute_print
+from .test_similar import brute_groups
 from .test_tokens_and_packing import check_pieces
 
 
@@ -20,8 +20,7 @@ def test_stages_on_a_whole_table(spark, tmp_path):
     toxic = {r.doc_id for r in QUERIES["op5_toxicity"](spark, sf).where("predicted = 1").collect()}
     assert set(rows[0]) - set(rows[1]) == toxic
     assert all(any(c.isalpha() for c in r.text) for r in rows[2].values()) and len(rows[1]) - len(rows[2]) == sum(not any(c.isalpha() for c in r.text) for r in rows[1].values())
-    component = brute_components({k: brute_print(r.text) for k, r in rows[2].items()})
-    assert set(rows[3]) == set(component.values())
+    assert set(rows[3]) == set(brute_groups({k: r.text for k, r in rows[2].items()}).values())
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = {k for k, r in rows[3].items() if any(i.lower() in r.text.lower() for i in items)}
     assert set(rows[3]) - set(rows[4]) == leaks

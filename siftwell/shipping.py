@@ -1,4 +1,4 @@
-"""Makes the package importable in the executors' Python workers."""
+"""Prepares a session for Python workers: the package is importable there, and batches are bounded by bytes."""
 
 from __future__ import annotations
 
@@ -10,9 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once a Spark context."""
+    """Adds the package to the session's Python files, once a Spark context.
+
+    Arrow batches get a bound of 4 MB, unless the session sets one itself: with
+    the default of 64 MB, long texts fill the memory beside the heap. A longer
+    text is a batch by itself.
+    """
     context = spark.sparkContext
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, "4m")
     if getattr(context, "_siftwell_shipped", False):
         return
     home = Path(__file__).resolve().parent

@@ -24,6 +24,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 192
 UNIT = 576
 SIDE, LOW = 32, 8
+#: More than any cell of a table can hold.
+MAX_SAMPLES = 1 << 31
 _ROWS = np.arange(LOW)[:, None]
 COSINES = np.cos(np.pi * (2 * np.arange(SIDE)[None, :] + 1) * _ROWS / (2 * SIDE))
 
@@ -96,8 +98,10 @@ def read_png(media: bytes) -> np.ndarray:
         if len(body) != size or media[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(body, zlib.crc32(kind))):
             raise ValueError("chunk checksum differs")
         if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
+            width, height, depth, colour, packing, filtering, interlace = struct.unpack(">IIBBBBB", body)
             channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+            if not width or not height or packing or filtering:
+                raise ValueError("no pixels, or another packing")
             if depth != 8 or interlace or not channels:
                 raise ValueError("only 8-bit samples without palette or interlace")
             shape = (height, width, channels)
@@ -108,8 +112,12 @@ def read_png(media: bytes) -> np.ndarray:
     if not ended or shape is None:
         raise ValueError("chunks are missing")
     height, width, channels = shape
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), dtype=np.uint8)
-    if raw.size != height * (width * channels + 1):
+    size = height * (width * channels + 1)
+    if size > MAX_SAMPLES:
+        raise ValueError("too many samples")
+    unpacked = zlib.decompressobj()
+    raw = np.frombuffer(unpacked.decompress(b"".join(data), size + 1), dtype=np.uint8)  # never more than the header says
+    if raw.size != size:
         raise ValueError("image data of another size")
     return unfiltered(raw.reshape(height, width * channels + 1), channels)
 
@@ -149,7 +157,10 @@ def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: int
 def from_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """(key, n_bytes, media_bytes, media_sha256, payload binary, feature, error) of a media column that to_media gave or that has its columns.
 
-    Damaged or null media give null payload and feature and say why in error.
+    Damaged or null media give null payload and feature and say why in error; so
+    do images without pixels and data that unpack to another size than the header
+    says. Repeated rows and null keys are kept; an empty table gives an empty
+    result; other columns are not read.
     """
     ship(media.sparkSession)
     rows = media.select(F.col(key).alias("key"), "n_bytes", F.col(column).alias("media"))

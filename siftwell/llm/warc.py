@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
@@ -19,11 +20,16 @@ from ..shipping import ship
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-_MARKUP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)\b[^>]*>|<[!/?][^>]*>")
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_UNSHOWN = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
 _BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
+_HREF = re.compile(r"""(?i)(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TITLE_END = re.compile("(?i)</title")
 _BLANKS = re.compile(r"[^\S\n]+")
+#: Names of codecs that are no charsets of pages.
+_NO_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "mbcs", "oem"))
+#: Bytes that one body may have when its coding is undone.
+MAX_BODY = 1 << 30
 
 
 def digest(raw: bytes) -> str:
@@ -53,49 +59,122 @@ def _first(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name), None)
 
 
+def _joined(body: bytes) -> bytes:
+    """The chunks of a chunked body; what follows the last is left out."""
+    parts, at = [], 0
+    while at < len(body):
+        line = body.find(b"\r\n", at)
+        size = body[at : line if line >= 0 else len(body)].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("chunk of no size")
+        n, at = int(size, 16), line + 2 if line >= 0 else len(body)
+        if not n:
+            break
+        parts.append(body[at : at + n])
+        at += n + 2
+    return b"".join(parts)
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """gzip or deflate undone, the latter with or without its header."""
+    for form in (47, -15) if coding == "deflate" else (47,):
+        one = zlib.decompressobj(form)
+        try:
+            out = one.decompress(body, MAX_BODY)
+        except zlib.error as e:
+            why = e
+            continue
+        if one.unconsumed_tail:
+            raise ValueError(f"{coding}: over {MAX_BODY} bytes")
+        if not one.eof:
+            raise ValueError(f"{coding}: cut short")
+        return out
+    raise ValueError(f"{coding}: {why}")
+
+
 def http_body(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
-    """(status, headers, body) of an HTTP response, chunks joined and gzip or deflate undone; ValueError if it is none."""
+    """(status, headers, body) of an HTTP response, chunks joined and gzip or deflate undone; ValueError if it is none or has another coding."""
     head, gap, body = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     first = lines[0].split(" ", 2)
-    if not gap or not first[0].startswith("HTTP/") or len(first) < 2 or not first[1].isdigit():
+    if not gap or not first[0].startswith("HTTP/") or len(first) < 2 or not re.fullmatch("[0-9]{1,9}", first[1]):
         raise ValueError("no HTTP response")
     headers = [(k.strip(), v.strip()) for k, colon, v in (x.partition(":") for x in lines[1:]) if colon]
     if (_first(headers, "transfer-encoding") or "").lower() == "chunked":
-        parts, rest = [], body
-        while rest:
-            size, _, rest = rest.partition(b"\r\n")
-            n = int(size.split(b";")[0] or b"0", 16)
-            if not n:
-                break
-            parts.append(rest[:n])
-            rest = rest[n + 2 :]
-        body = b"".join(parts)
+        body = _joined(body)
     coding = (_first(headers, "content-encoding") or "").lower()
-    if coding in ("gzip", "deflate"):
-        try:
-            body = zlib.decompress(body, 47)
-        except zlib.error as e:
-            raise ValueError(f"{coding}: {e}") from e
+    if coding in ("gzip", "x-gzip", "deflate"):
+        body = _inflated(body, coding)
+    elif coding not in ("", "identity"):
+        raise ValueError(f"content coding {coding[:40]} is not read")
     return int(first[1]), headers, body
 
 
-def plain_text(page: str) -> str:
-    """A page's text: no scripts, styles, comments or tags, entities resolved, a line for each block."""
+def decoded(body: bytes, content_type: str) -> str:
+    """The text of a body by the charset that its type names; UTF-8 if it names none, one that is unknown or one that is none of texts."""
+    charset = re.search(r"charset=[\"']?([\w.-]+)", content_type)
+    try:
+        codec = codecs.lookup(charset[1] if charset else "utf-8")
+        if codec.name.replace("-", "_") not in _NO_CHARSETS:
+            return body.decode(codec.name, "replace")
+    except (LookupError, ValueError):
+        pass
+    return body.decode("utf-8", "replace")
 
-    def between(m: re.Match) -> str:
-        return "\n" if m[3] and m[3].lower() in _BLOCKS else ""
 
-    text = html.unescape(_MARKUP.sub(between, page)) if "<" in page else html.unescape(page)
-    lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """(text, title, links) of a page, in one pass over its tags.
+
+    The text has no scripts, styles, comments or tags; entities are resolved and
+    each block has a line of its own. Links are the distinct href values of
+    anchors, in order. A comment, script or style that is not closed goes on to
+    the end; a tag that is not closed is text.
+    """
+    parts, links, title = [], [], None
+    at, closed, untitled = 0, True, True
+    while (i := page.find("<", at)) >= 0:
+        parts.append(page[at:i])
+        tag = _TAG.match(page, i)
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        name = tag[1].lower() if tag else ""
+        opens = tag is not None and page[i + 1] != "/"
+        if opens and name in _UNSHOWN:
+            end = _UNSHOWN[name].search(page, tag.end())
+            at = end.end() if end else len(page)
+            continue
+        end = page.find(">", i + 1) if closed and (tag or page[i + 1 : i + 2] in ("!", "/", "?")) else -1
+        if end < 0:
+            closed = closed and not (tag or page[i + 1 : i + 2] in ("!", "/", "?"))  # no > is left, so none is looked for again
+            parts.append("<")
+            at = i + 1
+            continue
+        if name in _BLOCKS:
+            parts.append("\n")
+        if opens and name == "a" and (href := _HREF.search(page, tag.end(), end)):
+            links.append(html.unescape(href[1] or href[2] or href[3] or ""))
+        elif opens and name == "title" and title is None and untitled:
+            stop = _TITLE_END.search(page, end)
+            untitled = stop is not None
+            title = " ".join(html.unescape(page[end + 1 : stop.start()]).split()) if stop else None
+        at = end + 1
+    parts.append(page[at:])
+    lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape("".join(parts)).split("\n"))
+    return "\n".join(x for x in lines if x), title, list(dict.fromkeys(links))
+
+
+def plain_text(page: str) -> str:
+    """A page's text."""
+    return read_page(page)[0]
 
 
 def response(url: str | None, page: str | None, key: object, date: str = DATE) -> bytes:
-    """A response record for a fetched page; its id follows from the key and the URL."""
+    """A response record for a fetched page; its id follows from the key, the URL and the page."""
     body = (page or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-    ident = f"<urn:uuid:{uuid.uuid5(_NAMES, f'response {key} {url}')}>"
+    ident = f"<urn:uuid:{uuid.uuid5(_NAMES, f'response {key} {url} {digest(body)}')}>"
     headers = [("WARC-Record-ID", ident), *([("WARC-Target-URI", re.sub(r"\s", "%20", url))] if url else []), ("WARC-Date", date), ("WARC-Payload-Digest", digest(body)), ("Content-Type", "application/http; msgtype=response")]
     return record("response", headers, http + body)
 
@@ -122,31 +201,31 @@ def derived(raw: bytes | None) -> list[dict]:
         return [{"kind": "invalid", "error": str(e)}]
     target, date = _first(headers, "warc-target-uri"), _first(headers, "warc-date") or DATE
     kind = (_first(http, "content-type") or "").lower()
-    charset = re.search(r"charset=[\"']?([\w.-]+)", kind)
-    try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+    page = decoded(body, kind)
     is_html, is_text = "html" in kind, kind.startswith("text/") or "html" in kind
     linked = [("WARC-Refers-To", ident), *([("WARC-Target-URI", target), ("WARC-Refers-To-Target-URI", target)] if target else []), ("WARC-Refers-To-Date", date), ("WARC-Date", date)]
     own = {k: f"<urn:uuid:{uuid.uuid5(_NAMES, f'{k} {ident}')}>" for k in ("metadata", "conversion")}
-    links = list(dict.fromkeys(html.unescape(next(g for g in m if g or g is m[2])) for m in _LINK.findall(page))) if is_html else []
-    title = _TITLE.search(page) if is_html else None
+    shown, title, links = read_page(page) if is_html else (page, None, [])
     fields = [
         ("source-status", str(status)), *((f"source-{k.lower()}", v) for k, v in http), ("source-block-digest", _first(headers, "warc-block-digest") or digest(block)),
-        ("source-payload-digest", _first(headers, "warc-payload-digest") or digest(body)), *([("title", " ".join(html.unescape(title[1]).split()))] if title else []), *(("outlink", " ".join(x.split())) for x in links),
+        ("source-payload-digest", _first(headers, "warc-payload-digest") or digest(body)), *([("title", title)] if title is not None else []), *(("outlink", " ".join(x.split())) for x in links),
     ]
-    block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+    block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
     out = [{"kind": "metadata", "record_id": own["metadata"], "refers_to": ident, "target_uri": target, "block": block, "n_links": len(links), "record": record("metadata", [("WARC-Record-ID", own["metadata"]), *linked, ("Content-Type", "application/warc-fields")], block)}]
     if is_text:
-        text = (plain_text(page) if is_html else page).encode()
-        source = [("WARC-Source-Payload-Digest", _first(headers, "warc-payload-digest") or digest(body)), ("WARC-Concurrent-To", own["metadata"]), ("Content-Type", "text/plain; charset=utf-8")]
+        text = shown.encode("utf-8", "replace")
+        source = [("WARC-Source-Payload-Digest", _first(headers, "warc-payload-digest") or digest(body)), ("Content-Type", "text/plain; charset=utf-8")]
         out.append({"kind": "conversion", "record_id": own["conversion"], "refers_to": ident, "target_uri": target, "block": text, "record": record("conversion", [("WARC-Record-ID", own["conversion"]), *linked, *source], text)})
     return out
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
-    """(key, record binary): a response record of every row; a null page is empty, a null URL leaves its header out."""
+    """(key, record binary): a response record of every row.
+
+    A null page is empty, a null URL leaves its header out. Rows that are equal
+    in all three are one capture and give the same record, id included; null keys
+    are kept; an empty table gives an empty result; other columns are not read.
+    """
     ship(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -165,8 +244,9 @@ def derivatives(records: DataFrame, key: str = "page_id", column: str = "record"
     """(key, kind, record_id, refers_to, target_uri, block_digest, n_bytes, n_links, record binary, error): two rows a text response.
 
     Each record is read by itself, so that no group forms. Null, cut or foreign
-    records give one row of kind invalid. Repeated rows and null keys are kept;
-    an empty table gives an empty result; other columns are not read.
+    records, and bodies in a coding that is not read, give one row of kind
+    invalid. Repeated rows and null keys are kept, with the same ids; very long
+    pages take time in proportion; an empty table gives an empty result; other columns are not read.
     """
     ship(records.sparkSession)
     rows = records.select(F.col(key).alias("key"), F.col(column).alias("record"))

@@ -5,22 +5,33 @@ A seed is a fixed mask over token positions, 1 for a position that is hashed and
 of all masks at all positions of the documents are joined with those of the
 benchmark; each hit names an alignment (document, item, offset), and around it
 the two token sequences are compared position by position.
+
+No alignment of the least similarity is without a hit. That is tested, mask by
+mask, for each length of items that the benchmark has; items of a length for
+which the masks fail (short ones) are hashed by runs of so many tokens as always
+stand between substitutions, those that allow none whole.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: For 15 tokens and any 3 substitutions (similarity 0.8), at least one of these still hits.
+#: For 15 tokens and any 3 substitutions (similarity 0.8), at least one of these still hits; so for 7 to 9, 12 to 14 and 16 to 24 tokens.
 MASKS = ("11011", "1110011")
 MIN_SIMILARITY = 0.8
 #: An alignment is judged on its best stretch of so many tokens (the whole item, if shorter).
 STRETCH = 24
 #: Entries of a few bytes up to which the benchmark's hashes, its tokens and the hit documents' hashes are broadcast.
 BROADCAST_ENTRIES = 500_000
+#: Beyond that, each hash is dealt to so many tasks.
+SALT = 16
 
 
 def tokens(text: Column) -> Column:
@@ -31,15 +42,26 @@ def tokens(text: Column) -> Column:
 def seeds(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """array<array<bigint>>: for each mask its hashes at all positions of the array of words."""
 
-    def of(h: Column, k: int, mask: str) -> Column:
+    def of(h: Column, mask: str) -> Column:
         last = F.size(h) - len(mask)
         at = [p for p, c in enumerate(mask) if c == "1"]
-        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + p) for p in at]))
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(mask), *[F.get(h, i + p) for p in at]))
         return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     # a lambda's variable, so that the hashed words are computed once
-    return F.transform(F.array(hashed), lambda h: F.array(*[of(h, k, m) for k, m in enumerate(masks)])).getItem(0)
+    return F.transform(F.array(hashed), lambda h: F.array(*[of(h, m) for m in masks])).getItem(0)
+
+
+@lru_cache(maxsize=256)
+def masks_for(width: int, masks: tuple[str, ...] = MASKS, min_similarity: float = MIN_SIMILARITY) -> tuple[str, ...]:
+    """The masks, if one of them hits in width tokens whichever are substituted; else a run that always stands between substitutions."""
+    wrong = width - math.ceil(min_similarity * width - 1e-9)
+    if math.comb(width, wrong) <= 50_000:  # more places are not tried out
+        placed = [{start + p for p, c in enumerate(m) if c == "1"} for m in masks for start in range(width - len(m) + 1)]
+        if all(any(not seed & set(gone) for seed in placed) for gone in combinations(range(width), wrong)):
+            return masks
+    return ("1" * math.ceil((width - wrong) / (wrong + 1)),)
 
 
 def _bounded(df: DataFrame, entries: int) -> DataFrame:
@@ -63,37 +85,50 @@ def _best(words: Column, own: Column, shift: Column, width: Column) -> Column:
     return F.when(high - low >= width, F.transform(F.array(same), over).getItem(0))
 
 
+def _seeded_items(items: DataFrame, masks: tuple[str, ...], min_similarity: float, stretch: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """(item, hash, ats): all places of each seed of an item, under the masks for its length; and the masks in use."""
+    lengths = sorted(r[0] for r in items.select(F.least(F.lit(stretch), F.size("own"))).distinct().collect())  # stretch rows at most
+    used: dict[str, list[int]] = {}
+    for n in lengths:
+        for mask in masks_for(n, masks, min_similarity):
+            used.setdefault(mask, []).append(n)
+    made = None
+    for mask, of in used.items():
+        own = items.where(F.least(F.lit(stretch), F.size("own")).isin(of)).select("item", F.posexplode(seeds(F.col("own"), (mask,)).getItem(0)).alias("at", "hash"))
+        made = own if made is None else made.unionByName(own)
+    if made is None:
+        made = items.select("item", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("hash")).where(F.lit(False))
+    return made.groupBy("item", "hash").agg(F.collect_set("at").alias("ats")), tuple(used)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_similarity: float = MIN_SIMILARITY, stretch: int = STRETCH) -> DataFrame:
     """(key, item, doc_start, item_start, matched, compared, similarity): a row for each document and benchmark item that it holds.
 
     matched of compared aligned tokens are equal in the best stretch, and at
     least min_similarity of them are. Of several alignments of a pair the best
-    is returned, ties by position. Items shorter than the longest mask carry no
-    seed of it, and items shorter than every mask are never reported. Texts that
-    share an item id are all looked for, under that id.
+    is returned, ties by position. Items of every length are looked for, those of
+    one word too; an item of fewer than five tokens must stand there word for
+    word. Texts that share an item id are all looked for, under that id.
 
     Null or empty texts match nothing. Rows with a null key or item take part
-    and keep the null. Repeated rows give one result a pair; an empty table
-    gives an empty result; other columns are not read.
+    and keep the null. Repeated rows give one result a pair; very long texts are
+    read whole; an empty table gives an empty result; other columns are not read.
     """
     # documents go by the hash of their text, so that copies and rows without a key need no group of their own
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("doc", F.xxhash64("text"))
-    items = materialize(
-        benchmark.select(F.col(item).alias("item"), F.array_remove(tokens(F.col(item_text)), "").alias("own")).distinct().where(F.size("own") >= min(map(len, masks))), "decontaminate-items"
-    )
+    items = materialize(benchmark.select(F.col(item).alias("item"), F.array_remove(tokens(F.col(item_text)), "").alias("own")).distinct().where(F.size("own") > 0), "decontaminate-items")
     n_tokens = items.agg(F.coalesce(F.sum(F.size("own")), F.lit(0))).first()[0]
-    tests = (
-        items.select("item", F.posexplode(seeds(F.col("own"), masks)).alias("mask", "hashes"))
-        .select("item", F.posexplode("hashes").alias("at", "hash"))
-        .groupBy("item", "hash").agg(F.min("at").alias("at"))
-    )
+    tests, used = _seeded_items(items, masks, min_similarity, stretch)
     tests = materialize(tests, "decontaminate-seeds")
-    seeded = (
-        rows.select("doc", F.posexplode(seeds(tokens(F.col("text")), masks)).alias("mask", "hashes"))
-        .select("doc", F.posexplode("hashes").alias("pos", "hash"))
-    )
-    # a document has no more alignments with an item than it has tokens, so one row holds them
-    hits = seeded.join(_bounded(tests, tests.count()), "hash").groupBy("doc", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+    seeded = rows.select("doc", F.explode(seeds(tokens(F.col("text")), used) if used else F.array(F.array().cast("array<bigint>"))).alias("hashes")).select("doc", F.posexplode("hashes").alias("pos", "hash"))
+    if (n_tests := tests.count()) <= BROADCAST_ENTRIES and n_tokens <= BROADCAST_ENTRIES:
+        met = seeded.join(F.broadcast(tests), "hash")
+    else:  # a hash that very many documents have is dealt to several tasks
+        salted = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = seeded.withColumn("salt", F.pmod("doc", F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"])
+    # a document has no more alignments with an item than both have tokens, so one row holds them
+    met = met.select("doc", "item", "pos", F.explode("ats").alias("at"))
+    hits = met.groupBy("doc", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
     hits = materialize(hits.withColumnRenamed("item", "hit_item"), "decontaminate-hits")
     found = materialize(hits.select("doc").distinct(), "decontaminate-docs")
     texts = rows.join(_bounded(found, found.count()), "doc", "left_semi").select("doc", "key", tokens(F.col("text")).alias("words"))
@@ -101,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     width = F.least(F.lit(stretch), F.size("own"))
     best = F.array_max(F.transform("shifts", lambda shift: _best(F.col("words"), F.col("own"), shift, width)))
     found = pairs.select("key", "item", width.alias("width"), best.alias("b"), (F.get("words", F.lit(0)) == "").cast("int").alias("blank"))
-    found = found.where(F.col("b.n") >= F.lit(min_similarity) * F.col("width"))
+    found = found.where(F.col("b.n") >= F.lit(min_similarity) * F.col("width") - F.lit(1e-9))
     best = F.struct((F.col("b.n") / F.col("width")).alias("similarity"), F.col("b.n").alias("matched"), (F.col("b.doc") + F.col("blank")).alias("doc"), F.col("b.own").alias("own"), F.col("width").alias("compared"))
     found = found.select("key", "item", best.alias("b")).groupBy("key", "item").agg(F.max("b").alias("b"))
     return found.select(

@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
-from siftwell.llm.decontaminate import MASKS, contaminated
+from siftwell.llm.decontaminate import MASKS, contaminated, masks_for
 from siftwell.llm.queries import QUERIES
 
 from .helpers import edge_docs, empty_docs
@@ -40,11 +43,86 @@ def test_masks_survive_any_three_substitutions_of_fifteen():
         assert any(all(s + p not in gone for p in seed) for seed in seeds for s in range(15 - seed[-1]))
 
 
-def test_whole_table_finds_every_verbatim_passage(spark, sf):
-    got = {(r.doc_id, r.item_id) for r in QUERIES["op3_decontamination"](spark, sf).collect()}
-    docs, items = spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
-    assert want <= got and len(got - want) <= 1  # one passage in capitals
+def brute(docs, items, stretch=24, least=0.8):
+    """(key, text) each -> {(key, item): (doc_start, item_start, matched, compared)}, the best stretch of all alignments of all pairs."""
+    ids, out = {}, {}
+
+    def coded(text):
+        return np.array([ids.setdefault(w, len(ids)) for w in regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())], dtype=np.int64)
+
+    coded_items = [(k, coded(t)) for k, t in items]
+    for key, text in docs:
+        d = coded(text)
+        for item, own in coded_items:
+            m = len(own)
+            w = min(stretch, m)
+            if not m or len(d) < w:
+                continue
+            pad = np.full(m - w, -1)
+            equal = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, d, pad]), m) == own
+            sums = np.cumsum(equal, axis=1)
+            sums = np.concatenate([sums[:, w - 1 : w], sums[:, w:] - sums[:, :-w]], axis=1)
+            start = np.arange(len(equal))[:, None] - (m - w) + np.arange(m - w + 1)
+            sums = np.where((start >= 0) & (start + w <= len(d)), sums, -1)
+            best = sums.max()
+            if best >= least * w - 1e-9:
+                out[key, item] = (*min((int(start[s, j]), int(j)) for s, j in np.argwhere(sums == best)), int(best), w)
+    return out
+
+
+def found(rows):
+    return {(r[0], r[1]): (r.doc_start, r.item_start, r.matched, r.compared) for r in rows.collect()}
+
+
+def test_whole_table_against_all_alignments(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert want and found(QUERIES["op3_decontamination"](spark, sf)) == want
+
+
+def test_items_of_1_to_30_tokens_with_the_substitutions_allowed(spark):
+    rnd, items, docs = random.Random(5), [], []
+    for n in range(1, 31):
+        own = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        width = min(24, n)
+        for _ in range(12):
+            copy = list(own)
+            for at in rnd.sample(range(width), width - math.ceil(0.8 * width - 1e-9)):
+                copy[at] = "zz"
+            text = words(rnd, rnd.randint(0, 30))
+            at = rnd.randint(0, len(text))
+            docs.append((len(docs), " ".join([*text[:at], *copy, *text[at:]])))
+    got = found(contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")))
+    want = brute(docs, items)
+    assert len(want) >= 360 and got == want
+
+
+def test_all_places_of_a_repeated_passage_are_tried(spark):
+    rnd = random.Random(8)
+    p, between, tail = words(rnd, 10), words(rnd, 40), words(rnd, 14)
+    item = [*p, *between, *tail, *p]
+    last = [*tail, *p]
+    docs = []
+    for k in range(30):
+        copy = list(last)
+        for at in rnd.sample(range(24), 4):
+            copy[at] = "zz"
+        docs.append((k, " ".join([*words(rnd, 20), *copy, *words(rnd, 20)])))
+    docs += [(100 + k, " ".join(rnd.choices("ab", k=60))) for k in range(10)]
+    items = [(1, " ".join(item)), (2, "a b " * 8), (3, "a a a a a a a a"), (4, "a b a a b a b b a a b")]
+    got = found(contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")))
+    want = brute(docs, items)
+    assert {(k, 1) for k in range(30)} <= set(want) and got == want
+
+
+def test_masks_hit_at_every_length():
+    from itertools import combinations
+
+    for width in range(1, 25):
+        wrong = width - math.ceil(0.8 * width - 1e-9)
+        placed = [{start + p for p, c in enumerate(m) if c == "1"} for m in masks_for(width) for start in range(width - len(m) + 1)]
+        assert all(any(not seed & set(gone) for seed in placed) for gone in combinations(range(width), wrong)), width
 
 
 def test_beyond_the_broadcast_bound_the_result_is_the_same(spark, sf, monkeypatch):

@@ -26,14 +26,16 @@ import pyarrow.compute as pc
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes all Unicode versions and libraries agree are the rest.
 BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
+#: No piece of the pattern crosses these places: a single space or line end between signs that are
+#: none (each kind of piece may begin with the space), and a letter before such a mark.
+CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=[^\W\d_])(?=[。、，！？；：])")
 
 
 def safe_parts(text: str, size: int) -> list[str]:
-    """Cuts a long text, at least size characters a part, before a space between a non-space and a letter.
+    """Cuts a long text, at least size characters a part, where no piece of the pattern crosses.
 
-    No piece of the pattern crosses such a place, so the parts' ids add up to the
-    text's. A text without such places stays whole.
+    So the parts' ids add up to the text's. There are such places in texts of
+    every script that has spaces, lines or marks; a text without any stays whole.
     """
     parts, start = [], 0
     while len(text) - start > size:
@@ -93,16 +95,19 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; None counts as the empty text. Long texts go in parts cut at safe places."""
         out: list[list[int]] = [[]] * len(texts)
+        plain: list[tuple[int, list[str]]] = []
         rest: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if self.fast is None or BEYOND.search(text) or any(a in text for a in self.added):
-                rest.append((k, safe_parts(text, self.part_chars)))
-            elif len(text) <= self.part_chars:
-                out[k] = self.fast.encode_ordinary(text)
+            if any(a in text for a in self.added):  # such a string may take signs beside it along, so the text stays whole
+                rest.append((k, [text]))
             else:
-                out[k] = [i for part in safe_parts(text, self.part_chars) for i in self.fast.encode_ordinary(part)]
+                (rest if self.fast is None or BEYOND.search(text) else plain).append((k, safe_parts(text, self.part_chars)))
+        if plain:
+            codes = iter(self.fast.encode_ordinary_batch([p for _, parts in plain for p in parts], num_threads=1))
+            for k, parts in plain:
+                out[k] = next(codes) if len(parts) == 1 else [i for _ in parts for i in next(codes)]
         if rest:
             codes = iter(self.bpe.encode_batch_fast([p for _, parts in rest for p in parts], add_special_tokens=False))
             for k, parts in rest:

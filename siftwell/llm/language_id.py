@@ -1,7 +1,7 @@
 """Operator 4, language identification by rank-order profiles.
 
-A text's n-grams are those of 1 to 4 bytes of its lower-cased UTF-8 form, runs
-of anything but letters being one blank. Its TOP most frequent n-grams are
+A text's n-grams are those of 1 to 4 bytes of its lower-cased UTF-8 form; runs of
+ASCII signs and digits are one blank, and all that is not ASCII counts as letters. Its TOP most frequent n-grams are
 ranked (ties by n-gram), and each language's profile is the same ranking over
 the language's training texts. The distance to a profile is the sum over the
 text's n-grams of how far they are out of place, TOP for those it lacks.
@@ -24,6 +24,7 @@ TOP = 400
 MAX_N = 4
 #: Training bound: about so many texts a language, drawn by a hash of the key.
 SAMPLE_PER_LANG = 3_000
+#: Training bound: the most frequent languages that are learned; the others' texts are ranked like any.
 MAX_LANGS = 2_000
 CHUNK = 1 << 20
 SLICE_ROWS = 512
@@ -69,17 +70,16 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Each language's ranking, learned from the training fold (rows whose fold is not 0) with a language and a text.
 
     At most about per_lang texts a language are used (a documented bound), drawn
-    by a hash of the key. What comes to the driver is top codes a language.
+    by a hash of the key, and the MAX_LANGS most frequent languages are learned,
+    ties by name, so that a column full of other things breaks nothing. What comes to the driver is top codes a language.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where((fold_of(F.col("key")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    drawn = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sizes.items()], "learned string, share double")
+    drawn = known.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

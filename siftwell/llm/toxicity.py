@@ -24,7 +24,7 @@ from .common import fold_of, materialize, quoted
 #: Training bound: about so many labelled texts of either class, drawn by a hash of the key.
 SAMPLE_PER_CLASS = 12_000
 #: Training folds (crc32 of the key modulo 5; 0 is held out): words; trees; calibration.
-WORD_FOLDS, TREE_FOLDS, CALIBRATION_FOLDS = (1, 2), (1, 2, 3), (4,)
+WORD_FOLDS, TREE_FOLDS, CALIBRATION_FOLDS = (1, 2), (3,), (4,)
 #: A lexicon entry occurs in so many toxic texts at least, as a number and as a share of them ...
 MIN_TOXIC, MIN_SHARE = 3, 0.001
 #: ... is so many times likelier in toxic texts, and passes this log-likelihood ratio.
@@ -189,7 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns from labelled rows of the training folds only, from their text and label.
 
     The labelled sample has at most about 2 * per_class rows, so it is broadcast
-    to pick its texts; text travels for those alone.
+    to pick its texts; text travels for those alone. A text that stands in several
+    rows counts once: in the fold of its smallest key, toxic if any of them is.
+    Words, trees and calibration each have folds of their own; where a part lacks
+    one of the labels, all parts teach it. Without both labels the model is a
+    constant. Rows without a key, a text or a label of 0 or 1 teach nothing;
+    empty tables give the constant 0; very long texts are read whole.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -198,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ship(docs.sparkSession)
     sample = drawn(labels, per_class)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    texts = texts.join(F.broadcast(sample), F.col("key") == F.col("label_key")).select(fold_of(F.col("key")).alias("fold"), "text", "label", "weight").dropDuplicates(["text"])
+    texts = texts.join(F.broadcast(sample), F.col("key") == F.col("label_key")).groupBy("text").agg(F.min("key").alias("key"), F.max("label").alias("label"), F.max("weight").alias("weight"))
+    texts = texts.select(fold_of(F.col("key")).alias("fold"), "text", "label", "weight")
     texts = materialize(texts, "toxicity-texts")
     n = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
@@ -214,6 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     on = scored.where(F.col("fold").isin(*CALIBRATION_FOLDS))
     if on.select("label").distinct().count() < 2:
         on = scored
+    # one row a score: equal scores are one point of the curve, however many they are
+    on = on.groupBy("raw").agg(F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("label")).withColumnRenamed("w", "weight")
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(on)
     return Model(terms, trees, curve)
 

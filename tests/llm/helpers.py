@@ -11,7 +11,7 @@ def edge_docs(spark):
         (None, "no key here", "en", "c", 3), (None, None, None, None, None), (6, "12 345 ... !!", "de", "c", 2), (7, "日本語 text — mixed 😀 <|endoftext|> end", "ja", "c", 4),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    extra = {c: df.n_chars for c in ("score", "key", "n_tokens", "fp", "component_id", "media", "n", "label", "fold", "features", "hash", "pos", "item", "ids", "part", "length", "row", "weight", "a.b")}
+    extra = {c: df.n_chars for c in ("score", "key", "n_tokens", "fp", "component_id", "media", "n", "label", "fold", "features", "hash", "pos", "item", "ids", "part", "length", "row", "weight", "a.b", "found_name", "copy", "stay_who", "who", "root")}
     return df.withColumns(extra)
 
 

@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import discard, materialize
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 SMALL = 24
+EDGES_A_TASK = 200_000
 #: Byte positions of each index entry: for any two positions, one set has neither.
 POSITIONS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7))
 assert all(any(not {i, j} & set(p) for p in POSITIONS) for i, j in combinations(range(8), 2))
@@ -117,7 +118,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Large-star and small-star rounds, each a join and a grouped minimum; the
     edges are written to the shared folder after each round, and the rounds end
-    when they no longer change. No list of neighbours is ever built.
+    when they no longer change. No list of neighbours is ever built. Few edges
+    run in few tasks, EDGES_A_TASK in each.
     """
     def known(e: DataFrame) -> tuple:
         row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -128,14 +130,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         if not seen[0]:
             break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tasks = 1 + seen[0] // EDGES_A_TASK
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        wide = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        wide = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(tasks).distinct().coalesce(tasks)
         lowest = wide.groupBy("a").agg(F.min("b").alias("m"))
         joined = wide.join(lowest, "a")
-        close = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
-        now = materialize(close.distinct(), name)
+        close = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).unionByName(lowest.select("a", F.col("m").alias("b")).coalesce(tasks))
+        last, now = now, materialize(close.distinct().coalesce(tasks), name)
         then, seen = seen, known(now)
+        discard(last)
         if then == seen:
             break
     else:

@@ -2,9 +2,8 @@
 
 A text is the set of its hashed five-word shingles. Operator 6 links texts whose
 fingerprints differ in few bits, by its byte-position index with count filter;
-such links are compared exactly, and what they join needs no more search.
-Fingerprints of texts of similarity 4/5 may differ in ten bits and more, so the
-rest has an exact way: two sets of that similarity share a shingle among the
+such links are compared exactly. But fingerprints of texts of similarity 4/5 may
+differ in ten bits and more, so the rest has an exact way: two sets of that similarity share a shingle among the
 first fifth of each, whatever the order of shingles, as long as it is one for all
 (prefix filter). The order puts shingles that a sample shows to be frequent last;
 that saves work and loses nothing. Texts of different groups that share a shingle
@@ -16,9 +15,11 @@ many shingles as their sketches differ in bits, so a pair whose sketches are too
 far apart is not similar; the texts of the others are compared whole.
 
 A shingle of many texts is not paired out at first. All its texts are compared
-with one of them, the pivot, and what the links found so far join needs no
+with one of them, the pivot: that with the fewest rarer shingles before it, the
+likeliest original of the others. What the links found so far join needs no
 further comparison. Shingles whose texts are not yet one group go on with a next
-pivot; after ROUNDS, texts of different groups are paired.
+pivot; after ROUNDS, texts of different groups are paired, where the places allow
+it. Those whose own shingles stand before the shared one are out by that.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import discard, materialize
 from .simhash import components, print_of, shingle_hashes
 from .simhash import links as near_prints
 
@@ -39,7 +40,7 @@ SHINGLE = 5
 #: Least similarity, as a fraction: compared in whole numbers.
 NUM, DEN = 4, 5
 SMALL = 100
-ROUNDS = 4
+ROUNDS = 2
 #: One text of SAMPLE tells the frequent shingles: those it has OFTEN times, MOST of them at most.
 SAMPLE, OFTEN, MOST = 16, 3, 200_000
 _SLOTS = 1 << 24
@@ -128,10 +129,10 @@ def _may(n: Column, at: Column, m: Column, to: Column) -> Column:
 
 
 def _paired(shared: DataFrame) -> DataFrame:
-    """(a, b) of different groups, of shingles with few texts."""
-    lists = shared.groupBy("hash").agg(F.collect_list(F.struct("id", "n", "at", "root")).alias("l"))
+    """(a, b) of shingles with few texts."""
+    lists = shared.groupBy("hash").agg(F.collect_list(F.struct("id", "n", "at")).alias("l"))
     one = lists.select("l", F.explode("l").alias("x"))
-    others = F.filter("l", lambda y: (y["id"] > F.col("x.id")) & (y["root"] != F.col("x.root")) & _may(F.col("x.n"), F.col("x.at"), y["n"], y["at"]))
+    others = F.filter("l", lambda y: (y["id"] > F.col("x.id")) & _may(F.col("x.n"), F.col("x.at"), y["n"], y["at"]))
     return one.select(F.col("x.id").alias("a"), F.explode(F.transform(others, lambda y: y["id"])).alias("b")).distinct()
 
 
@@ -170,7 +171,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, once: DataFrame, shingle: int) ->
     wanted = materialize(once.select("id", "copy").join(_few(ids), "id", "left_semi"), "similar-wanted")
     texts = materialize(docs.select("copy", F.col("text").cast("binary").alias("text")).join(_few(wanted), "copy").select("id", "text").dropDuplicates(["id"]), "similar-texts")
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"of_{c}")) for c in "ab")
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(each, "a bigint, b bigint"), "similar-found")
+    found = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(each, "a bigint, b bigint"), "similar-found")
+    discard(pairs, wanted, texts)
+    return found
 
 
 def _by_prints(once: DataFrame) -> DataFrame:
@@ -197,15 +200,14 @@ def roots(docs: DataFrame, marks: DataFrame, shingle: int = SHINGLE) -> DataFram
     once = materialize(marks.drop("who").dropDuplicates(["id"]), "similar-sets")
     sets = once.drop("first")
     shared = materialize(_sized(once.select("id", "n", F.posexplode("first").alias("at", "hash"))), "similar-shared")
-    known = _linked(_by_prints(sets), docs, sets, shingle)
-    joined = components(known, "similar-roots")
-    known = known.unionByName(_linked(_paired(_rooted(shared.where(F.col("size") <= SMALL), joined)), docs, sets, shingle))
+    first = _by_prints(sets).unionByName(_paired(shared.where(F.col("size") <= SMALL))).distinct()
+    known = _linked(first, docs, sets, shingle)
     joined = components(known, "similar-roots")
     rest = materialize(_rooted(shared.where(F.col("size") > SMALL), joined), "similar-rest")
     for _ in range(ROUNDS):
         if rest.isEmpty():
             break
-        pivots = rest.groupBy("hash").agg(F.min(F.struct("id", "root")).alias("p"))
+        pivots = rest.groupBy("hash").agg(F.min(F.struct("at", "id", "root")).alias("p"))
         asked = rest.join(pivots, "hash").where("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
         new = _linked(asked, docs, sets, shingle)
         if not new.isEmpty():

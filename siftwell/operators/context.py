@@ -25,10 +25,10 @@ def source_block(n: Column, title: Column, section: Column, text: Column, url: C
     return F.concat(*head, F.lit("\n"), text)
 
 
-def joined(results: DataFrame, query: str, block: Column, between: str = "\n---\n", alias: str = "context") -> DataFrame:
-    """One text a query: the blocks by rank."""
+def joined(results: DataFrame, query: str, block: Column, between: str = "\n---\n", alias: str = "context", more: list[Column] | None = None) -> DataFrame:
+    """One text a query: the blocks by rank; and more aggregates of its rows."""
     listed = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return results.groupBy(query).agg(F.array_join(F.transform(listed, lambda s: s["block"]), between).alias(alias))
+    return results.groupBy(query).agg(F.array_join(F.transform(listed, lambda s: s["block"]), between).alias(alias), *(more or []))
 
 
 def citations(results: DataFrame, query: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,13 +94,22 @@ def porter(word: str) -> str:
     return word
 
 
-def stemmed(postings: DataFrame) -> DataFrame:
-    """(stem, key, tf ...) of postings with a column term; only distinct terms go through Python."""
-    ship(postings.sparkSession)
+def folded(word: str) -> str:
+    """Without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def stems(rows: DataFrame, word: str = "term") -> DataFrame:
+    """rows with stem, of the word without accents; only distinct words go through Python."""
+    ship(rows.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(stem=[porter(w) for w in b["term"]])
+            yield b.assign(stem=[porter(folded(w)) for w in b[word]])
 
-    stems = postings.select("term").distinct().mapInPandas(each, "term string, stem string")
-    return postings.join(stems, "term")
+    return rows.join(rows.select(word).distinct().mapInPandas(each, f"{word} string, stem string"), word)
+
+
+def stemmed(postings: DataFrame) -> DataFrame:
+    """(stem, key, tf ...) of postings with a column term."""
+    return stems(postings, "term")

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .fulltext import top_k
-from .vectors import BLOCK
+from .vectors import best_of
 
+#: Queries that one pass over the index takes.
+BLOCK = 4_096
 #: At about so many rows, drawn by a hash of the key, the centroids are fitted.
 SAMPLE_ROWS = 20_000
 #: Vectors without clusters need most cells for a recall of 0.9; clustered ones far fewer.
@@ -78,7 +80,9 @@ def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int,
                 for cell, rows in b.groupby("cell"):
                     who = looks[int(cell)]
                     score = np.round(_unit(np.array(rows["v"].tolist(), dtype=np.float64)) @ matrix[who].T, 6)
-                    frame = pd.DataFrame({"key": np.repeat(rows["key"].to_numpy(), len(who)), "q": np.tile(who, len(rows)), "score": score.reshape(-1)})
+                    keys = rows["key"].to_numpy()
+                    row, column = best_of(score, k, np.argsort(np.argsort(keys, kind="stable")))
+                    frame = pd.DataFrame({"key": keys[row], "q": who[column], "score": score[row, column]})
                     frame = frame if held is None else pd.concat([held, frame])
                     held = frame.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
             if held is not None:

@@ -7,58 +7,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .fulltext import top_k
 
-#: Queries that one pass over the vectors takes; more are asked in blocks.
-BLOCK = 4_096
+#: Rows of a block, of vectors as of queries; a block is one row of the join of both.
+BLOCK = 2_048
+
+
+def blocks(rows: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
+    """(keys array, n, m binary): rows with a vector, some together as one matrix of unit rows (float64, row by row)."""
+    ship(rows.sparkSession)
+    size = size or BLOCK
+    source = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                m = np.stack(part.column(1).to_numpy(zero_copy_only=False))
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                m = m / np.where(norm > 0, norm, 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([len(m)], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["keys", "n", "m"])
+
+    return source.mapInArrow(gather, f"keys array<{source.schema['key'].dataType.simpleString()}>, n int, m binary")
+
+
+def best_of(score: np.ndarray, k: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each column of score (fewer, if there are fewer rows); equal scores by place."""
+    rows, columns = [], []
+    for q in range(score.shape[1]):
+        own = score[:, q]
+        at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+        at = at[np.lexsort((place[at], -own[at]))[:k]]
+        rows.append(at)
+        columns.append(np.full(len(at), q))
+    return np.concatenate(rows), np.concatenate(columns)
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_key, key, score, rank): the k most similar vectors by cosine, ties by key.
 
-    Each block of queries, at most BLOCK rows, goes to every task as one matrix;
-    a task multiplies it with a batch of vectors and keeps k a query, so what is
-    shuffled is k rows a query and task, whatever the number of vectors.
+    Both sides are gathered into blocks, and each block of queries meets each
+    block of vectors: one product of two matrices, of which k a query are kept.
+    So memory follows the blocks, and the plan is the same for any number of
+    queries. Queries of one block travel by broadcast; more are dealt out with the
+    vectors.
     """
-    ship(vectors.sparkSession)
-    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).orderBy("q")
-    rows = asked.toLocalIterator()
-    found = None
-    block: list = []
-
-    def flush(block: list) -> DataFrame:
-        ids = [r.q for r in block]
-        matrix = np.array([r.v for r in block], dtype=np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norm > 0, norm, 1.0)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for b in batches:
-                own = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1)
-                size = np.linalg.norm(own, axis=1, keepdims=True)
-                score = np.round((own / np.where(size > 0, size, 1.0)) @ matrix.T, 6)
-                frame = pd.DataFrame({"key": np.repeat(b["key"].to_numpy(), len(ids)), "q": np.tile(np.arange(len(ids)), len(b)), "score": score.reshape(-1)})
-                frame = frame if held is None else pd.concat([held, frame])
-                held = frame.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
-            if held is not None:
-                yield held.assign(q=np.array(ids)[held["q"].to_numpy()])
-
-        out = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(best, "key bigint, q bigint, score double")
-        return out
-
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            part, block = flush(block), []
-            found = part if found is None else found.unionByName(part)
-    if block or found is None:
-        part = flush(block) if block else vectors.sparkSession.createDataFrame([], "key bigint, q bigint, score double")
-        found = part if found is None else found.unionByName(part)
+    few = queries.limit(BLOCK + 1).count() <= BLOCK
+    asked = blocks(queries.coalesce(1) if few else queries, query_key, query_vector).select(F.col("keys").alias("q_keys"), F.col("m").alias("q_m"))
+    pairs = blocks(vectors, key, vector).crossJoin(F.broadcast(asked) if few else asked)
+    kinds = [rows.schema[c].dataType.simpleString() for rows, c in ((queries, query_key), (vectors, key))]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, asking = batch.column(0)[r].values, batch.column(3)[r].values
+                m, q = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(len(x), -1) for c, x in ((2, keys), (4, asking)))
+                place = np.empty(len(keys), np.int64)
+                place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+                score = np.round(m @ q.T, 6)
+                row, column = best_of(score, k, place)
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(column)), keys.take(pa.array(row)), pa.array(score[row, column])], names=["q", "key", "score"])
+
+    found = pairs.select("keys", "n", "m", "q_keys", "q_m").mapInArrow(best, f"q {kinds[0]}, key {kinds[1]}, score double")
     ranked = top_k(found, "q", [F.desc("score"), F.asc("key")], k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
 

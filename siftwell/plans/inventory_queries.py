@@ -119,8 +119,10 @@ def case_insensitive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT e.vec_id, d.lang, md5(d.text) AS text_md5 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
 def get_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by a table of ids, the last of repeated ids."""
-    last = quality.keep_last(table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars"), "doc_id", "n_chars")
-    return table(spark, sf_dir, "embeddings").select("vec_id").join(last, F.col("vec_id") == F.col("doc_id")).select("vec_id", "lang", "text_md5")
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    asked = quality.known_only(table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars"), "doc_id", ids, "vec_id")
+    last = asked.groupBy("doc_id").agg(F.max_by(F.struct("lang", F.md5("text").alias("text_md5")), "n_chars").alias("last"))
+    return ids.join(last, F.col("vec_id") == F.col("doc_id")).select("vec_id", "last.lang", "last.text_md5")
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS words, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w = 'the'))::BIGINT AS hits FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'the')")

@@ -27,9 +27,10 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(order), 2).alias("running"))
 
 
-@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000""")
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    """Without an order of over 400,000."""
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey"))
 
 
 @query("""SELECT event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'view' AND (p.ts, p.event_id) < (e.ts, e.event_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, fulltext, fusion, metrics, vector_index, vectors
+from ..operators.kept import kept
 from .registry import query, table
 
 ALPHAS = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -74,6 +75,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_leg(spark, sf_dir).select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
+@query()
+def bm25_stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over stems without accents, words of several parts as phrases; tested against SQLite full text."""
+    scored = fulltext.bm25_stemmed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    scored = scored.withColumn("rank_score", F.round("rank_score", 6))
+    top = fulltext.top_k(scored, "item_id", [F.asc("rank_score"), F.asc("doc_id")], fusion.KEYWORD_CANDIDATES)
+    return top.select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.abs("rank_score").alias("score"))
+
+
 @query(rf"""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY term""")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -140,7 +150,7 @@ def rrf_plain_k60(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM top t JOIN documents d USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = t.doc_id""")
 def hybrid_search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both legs, fusion, and the texts of the first ten alone."""
-    top = hybrid(spark, sf_dir).select("item_id", "doc_id", "rank", "rrf_score")
+    top = kept(hybrid(spark, sf_dir).select("item_id", "doc_id", "rank", "rrf_score"), "top")  # written, so that counting it does not search again
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     out = fusion.hydrated(fulltext.bounded(top), docs, "doc_id").join(kinds, "doc_id", "left")
@@ -151,8 +161,9 @@ def hybrid_search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id, rank, coalesce(e.label::VARCHAR, 'other') AS kind FROM top t LEFT JOIN embeddings e ON e.vec_id = t.doc_id WHERE coalesce(e.label::VARCHAR, 'other') IN ('1', '3', '5')""")
 def hybrid_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind filter of fused results comes after the cut, so fewer than ten can be left."""
-    kinds = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("page_type")), "doc_id", "full_outer")
-    out = fusion.hydrated(hybrid(spark, sf_dir), kinds, "doc_id", list(KINDS))
+    top = kept(hybrid(spark, sf_dir).select("item_id", "doc_id", "rank"), "top")
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("page_type"))
+    out = fusion.hydrated(fulltext.bounded(top), kinds, "doc_id", list(KINDS))  # a row without a kind is none of these kinds
     return out.select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.col("page_type").cast("string").alias("kind"))
 
 
@@ -170,18 +181,17 @@ SOURCES = f"""{BM25}, rows AS (
 
 
 def _budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keyword_leg(spark, sf_dir).select("item_id", "doc_id", "rank").join(table(spark, sf_dir, "documents"), "doc_id")
+    top = kept(keyword_leg(spark, sf_dir).select("item_id", "doc_id", "rank"), "top")
+    rows = table(spark, sf_dir, "documents").join(fulltext.bounded(top), "doc_id")
     return context.within_budget(rows.withColumn("tokens", T.token_estimate(F.lit(0), F.col("text"))), "item_id")
 
 
 @query(f"""WITH {SOURCES} SELECT item_id, count(*) AS n_sources, max(running)::BIGINT AS tokens,
     md5(string_agg('[Source ' || rank || ']' || chr(10) || 'Page: ' || source || chr(10) || 'Section: ' || lang || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context_md5 FROM kept GROUP BY item_id""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _budgeted(spark, sf_dir)
     block = context.source_block(F.col("rank"), F.col("source"), F.col("lang"), F.col("text"))
-    texts = context.joined(kept, "item_id", block)
-    sizes = kept.groupBy("item_id").agg(F.count("*").alias("n_sources"), F.max("running").alias("tokens"))
-    return sizes.join(texts, "item_id").select("item_id", "n_sources", "tokens", F.md5("context").alias("context_md5"))
+    texts = context.joined(_budgeted(spark, sf_dir), "item_id", block, more=[F.count("*").alias("n_sources"), F.max("running").alias("tokens")])
+    return texts.select("item_id", "n_sources", "tokens", F.md5("context").alias("context_md5"))
 
 
 @query(f"""WITH {SOURCES} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS id, source AS page_title, replace('https://wiki.example.org/w/' || source, ' ', '_') AS page_url, lang AS section, substr(text, 1, 300) AS cited_text FROM kept""")
@@ -208,7 +218,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     asked = items.select("item_id", F.col("text").alias("passage"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    inner = words.join(fulltext.bounded(asked.select("term").distinct()), "term", "left_semi")
+    inner = kept(words.join(fulltext.bounded(asked.select("term").distinct()), "term", "left_semi"), "held-words")
     df = inner.groupBy("term").agg(F.count("*").alias("df"))
     rare = asked.join(df, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("passage").alias("passage"))
     found = inner.join(rare, "term").select("item_id", "passage", "doc_id")
@@ -225,7 +235,7 @@ METRICS = """SELECT item_id,
 
 @query(f"WITH {BM25}, {GOLD} {METRICS.format('kw')}")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.retrieval(keyword_leg(spark, sf_dir), gold(spark, sf_dir), "item_id", "doc_id", "wanted")
+    return metrics.retrieval(kept(keyword_leg(spark, sf_dir), "top"), kept(gold(spark, sf_dir), "gold"), "item_id", "doc_id", "wanted")
 
 
 @query(f"WITH {BM25}, {GOLD}, m AS ({METRICS.format('kw')}) SELECT 'keyword' AS config, count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(mrr), 6) AS mrr, count(recall_5) AS n_recall_5, count(mrr) AS n_mrr FROM m")

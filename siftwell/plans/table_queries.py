@@ -156,10 +156,10 @@ def flat_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.flat_metadata(rows, ["id"])
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0)")
 def incremental_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return incremental.new_rows(e, e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id").select("event_id", "user_id")
+    return incremental.new_rows(e, e.where("event_type = 'purchase' AND event_id % 50 = 0").select("user_id").distinct(), "user_id").select("event_id", "user_id")
 
 
 @query("SELECT CAST(time_bucket(INTERVAL '1 minute', ts) AS TIMESTAMP) AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL")

@@ -55,6 +55,27 @@ def test_stemmed_bm25_is_that_of_the_index(spark, corpus, fts):
     assert set(got) == set(want) and all(got[k] == pytest.approx(v, rel=1e-6) for k, v in want.items())
 
 
+def test_stemmed_search_with_accents_and_phrases_is_that_of_the_index(spark):
+    rnd = random.Random(11)
+    words = WORDS + ["café", "cafe", "naïve", "Éclair", "snake_case", "case_snake", "snake case", "case", "snake-cases", "running_cases"]
+    corpus = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40)))) for k in range(120)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE d USING fts5(text, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO d(rowid, text) VALUES (?, ?)", corpus)
+    asked = {1: "connections hopping", 2: "CAFÉ naive eclairs", 3: "snake_case", 4: "snake_case snake cases runs snake_case", 5: "run_case ___ absent_word", 6: "an"}
+    docs = spark.createDataFrame([*corpus, (999, None)], "doc_id bigint, text string").where("text IS NOT NULL")
+    queries = spark.createDataFrame(list(asked.items()), "q bigint, text string")
+    got = {}
+    for r in fulltext.bm25_stemmed(docs, queries, "doc_id", "text", "q", "text").collect():
+        got.setdefault(r.q, {})[r.doc_id] = r.rank_score
+    for q, text in asked.items():
+        terms = [w for w in text.split() if len(w) > 2 and w.strip("_")]
+        want = dict(con.execute("SELECT rowid, rank FROM d WHERE d MATCH ?", (" OR ".join(terms),))) if terms else {}
+        assert set(got.get(q, {})) == set(want), q
+        for k, v in want.items():
+            assert got[q][k] == pytest.approx(v, rel=1e-6)
+
+
 def test_phrases_are_adjacent(spark):
     docs = spark.createDataFrame([(1, "snake_case is case snake"), (2, "case_snake"), (3, "a snake case snake case")], "doc_id bigint, text string")
     assert {r.doc_id: r.hits for r in fulltext.phrase_hits(docs, "doc_id", "text", ["snake", "case"]).collect()} == {1: 1, 3: 2}

@@ -77,6 +77,24 @@ def test_exact_neighbours_equal_numpy(spark):
     assert vectors.neighbours(df, asked.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_rows_with_text_keys_and_ties(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(f"k{k}", [float(x) for x in rnd.integers(-1, 2, 3)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = {}
+    for r in vectors.neighbours(df, df.where("vec_id < 'k13'").selectExpr("vec_id AS query_id", "embedding AS query_vector"), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+
+    def cosine(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n), 6) if n else 0.0
+
+    for q, found in got.items():
+        own = dict(rows)[q]
+        want = sorted(((k, cosine(own, v)) for k, v in rows), key=lambda x: (-x[1], x[0]))[:7]
+        assert [s for _, s in found] == pytest.approx([s for _, s in want], abs=2e-6) and [k for k, _ in found] == [k for k, _ in want]
+
+
 def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((40, 4)))], "vec_id bigint, embedding array<float>")

@@ -8,22 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import chunking, vectors
+from .settings import DEFAULTS, Settings
 
-
-@dataclass(frozen=True)
-class Settings:
-    min_tokens: int = 10
-    max_tokens: int = 512
-    overlap: int = 50
-    merge_below: int = 50
-    semantic_candidates: int = 20
-    keyword_candidates: int = 15
-    top_k: int = 10
-    rrf_k: int = 20
-    alpha: float = 0.8
-    context_tokens: int = 3_000
-    history: int = 6
-    message_chars: int = 2_000
+__all__ = ["DEFAULTS", "Settings"]
 
 
 @dataclass(frozen=True)

@@ -181,3 +181,8 @@ def format_spans(c: Column) -> Column:
         return F.concat(state["out"], F.when((state["colour"] != "") | (state["styles"] != ""), "</span>").otherwise(""))
 
     return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, finish)
+
+
+def run_stamp() -> Column:
+    """The time when the query began, in UTC, as ISO text."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

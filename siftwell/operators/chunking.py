@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..settings import DEFAULTS, Settings
 from ..shipping import ship
 
-MIN_TOKENS, MAX_TOKENS, OVERLAP, MERGE_BELOW = 10, 512, 50, 50
+MIN_TOKENS, MAX_TOKENS, OVERLAP, MERGE_BELOW = DEFAULTS.min_tokens, DEFAULTS.max_tokens, DEFAULTS.overlap, DEFAULTS.merge_below
 _TOKEN = re.compile(r"[^\W_]+")
 _LIST = re.compile(r"\s*(?:[-*]|\d+\.)\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -130,12 +131,14 @@ def split_recursive(text: str, size: int = MAX_TOKENS, overlap: int = OVERLAP, l
     return out
 
 
-def section_chunks(sections: DataFrame, page: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+def section_chunks(sections: DataFrame, page: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS, overlap: int = OVERLAP, split: Callable[[str, int, int], list[str]] | None = None) -> DataFrame:
     """Chunks of sections (page, ordinal, heading, level, text, section_type and whatever else): adds chunk_index, text, token_count, chunk_id.
 
     Sections under least tokens go; those within most stay as they are, without
-    Python; only longer ones are split in tasks.
+    Python; only longer ones are split in tasks, by sentences unless split says
+    otherwise.
     """
+    cut = split or split_text
     ship(sections.sparkSession)
     trimmed = sections.withColumn("text", F.trim("text")).withColumn("token_count", T.token_count(F.col("text"))).where((F.col("text") != "") & (F.col("token_count") >= least))
     heading = F.concat(F.col("heading"), F.when(F.col("section_type") == "history", " (history)").otherwise(""))
@@ -147,7 +150,7 @@ def section_chunks(sections: DataFrame, page: str, least: int = MIN_TOKENS, most
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_text(x, most, overlap))
+        return texts.map(lambda x: cut(x, most, overlap))
 
     long = trimmed.where(F.col("token_count") > most).withColumn("piece", pieces("text"))
     long = long.select(*[c for c in trimmed.columns if c not in ("text", "token_count")], F.posexplode("piece").alias("chunk_index", "text"))
@@ -213,8 +216,8 @@ def merge_small(chunks: DataFrame, page: str, below: int = MERGE_BELOW, most: in
     return both.withColumn("place", place)
 
 
-def corpus_chunks(sections: DataFrame, page: str, types: DataFrame, related: DataFrame) -> DataFrame:
+def corpus_chunks(sections: DataFrame, page: str, types: DataFrame, related: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks with page_type (default other) and related_pages (default empty) of their page: two left joins."""
-    chunks = section_chunks(sections, page)
+    chunks = section_chunks(sections, page, settings.min_tokens, settings.max_tokens, settings.overlap, STRATEGIES[settings.chunker])
     out = chunks.join(types.select(page, "page_type"), page, "left").join(related.select(page, "related_pages"), page, "left")
     return out.withColumn("page_type", F.coalesce("page_type", F.lit("other"))).withColumn("related_pages", F.coalesce("related_pages", F.array().cast("array<string>")))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..settings import DEFAULTS
 
-BUDGET, HISTORY = 3_000, 6
+BUDGET, HISTORY, MESSAGE_CHARS = DEFAULTS.context_tokens, DEFAULTS.history, DEFAULTS.message_chars
 
 
 def within_budget(results: DataFrame, query: str, tokens: str = "tokens", budget: int = BUDGET) -> DataFrame:
@@ -102,7 +103,7 @@ def page_text(sections: DataFrame, page: str) -> DataFrame:
     return joined(sections.withColumnRenamed("ordinal", "rank"), page, block, "\n\n", "page_text")
 
 
-def request_error(message: Column, model: Column, models: list[str], most: int = 2_000) -> Column:
+def request_error(message: Column, model: Column, models: list[str], most: int = MESSAGE_CHARS) -> Column:
     """Why a chat request is refused: no message, one too long, an unknown model; null if it is accepted."""
     return (
         F.when(F.coalesce(F.length(message), F.lit(0)) < 1, "message is empty").when(F.length(message) > most, "message is too long").when(model.isNotNull() & ~model.isin(models), "unknown model")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..settings import DEFAULTS
 from .fulltext import top_k
 
-ALPHA, RRF_K, CANDIDATES, KEYWORD_CANDIDATES, KEEP = 0.8, 20, 20, 15, 10
+ALPHA, RRF_K, CANDIDATES, KEYWORD_CANDIDATES, KEEP = DEFAULTS.alpha, DEFAULTS.rrf_k, DEFAULTS.semantic_candidates, DEFAULTS.keyword_candidates, DEFAULTS.top_k
 
 
 def fused(semantic: DataFrame, keyword: DataFrame, query: str, key: str, alpha: float | Column = ALPHA, k: int = RRF_K, keep: int | None = KEEP, decimals: int = 8) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -46,11 +47,18 @@ PAGE = [
 ]
 
 
+@lru_cache(maxsize=256)
+def _parts(selector: str) -> tuple[str, str, str]:
+    """Tag, mark and name of tag.class, tag#id or .class."""
+    return re.fullmatch(r"(\w*)([.#]?)(.*)", selector).groups()
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent")
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "earlier")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.earlier = next((c for c in reversed(parent.children) if isinstance(c, Node)), None) if parent is not None else None
         self.classes = set((attrs.get("class") or "").split())
 
     def walk(self) -> Iterator[Node]:
@@ -71,7 +79,7 @@ class Node:
                 stack.extend(reversed(n.children))
 
     def fits(self, selector: str) -> bool:
-        tag, mark, name = re.fullmatch(r"(\w*)([.#]?)(.*)", selector).groups()
+        tag, mark, name = _parts(selector)
         if tag and self.tag != tag:
             return False
         return not mark or (name in self.classes if mark == "." else self.attrs.get("id") == name)
@@ -92,8 +100,10 @@ class Node:
 
     def before(self) -> Iterator[Node]:
         """Earlier siblings, nearest first."""
-        at = self.parent.children.index(self) if self.parent else 0
-        return (c for c in reversed(self.parent.children[:at]) if isinstance(c, Node)) if self.parent else iter(())
+        n = self.earlier
+        while n is not None:
+            yield n
+            n = n.earlier
 
     def drop(self) -> None:
         if self.parent is not None and self in self.parent.children:

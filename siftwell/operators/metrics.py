@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,9 +91,21 @@ def rouge_l(rows: DataFrame, key: list[str], answer: str, reference: str) -> Dat
     return source.mapInPandas(score, f"{types}, rouge_l double")
 
 
-def summary(metrics: DataFrame, config: list[str], columns: list[str]) -> DataFrame:
-    """Means (nulls left out) and numbers of values for each configuration."""
-    return metrics.groupBy(*config).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in columns], *[F.count(c).alias(f"n_{c}") for c in columns])
+def summary(metrics: DataFrame, config: list[str], columns: list[str], sums: list[str] | None = None) -> DataFrame:
+    """Means (nulls left out) and numbers of values for each configuration, and sums of counts such as tokens (0 for none)."""
+    totals = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in sums or []]
+    return metrics.groupBy(*config).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in columns], *[F.count(c).alias(f"n_{c}") for c in columns], *totals)
+
+
+def latency(spark: SparkSession, runs: dict[str, Callable[[], DataFrame]], questions: int) -> DataFrame:
+    """(config, questions, seconds, seconds_a_question): wall-clock time of each run for all its questions, results thrown away."""
+    rows = []
+    for name, run in runs.items():
+        began = time.perf_counter()
+        run().write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        rows.append((name, questions, took, took / max(1, questions)))
+    return spark.createDataFrame(rows, "config string, questions bigint, seconds double, seconds_a_question double")
 
 
 def histogram(rows: DataFrame, value: str, brackets: tuple[int, ...] = BRACKETS) -> DataFrame:

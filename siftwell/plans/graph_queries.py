@@ -141,7 +141,7 @@ def html_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_wiki_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infobox, table, image and nested headings, in wiki markup made of each document."""
-    t = F.regexp_replace(F.substring("text", 1, 200), "[<>&]", " ")
+    t = F.regexp_replace("text", "[<>&]", " ")
     page = F.concat(
         F.lit('<div id="mw-content-text"><div class="mw-parser-output"><div class="infobox"><table><tr><th>Source</th><td>'), "source", F.lit("</td></tr><tr><th>Language</th><td>"), "lang",
         F.lit("</td></tr></table></div><p>"), t, F.lit('</p><h2>History<span class="mw-editsection">[edit]</span></h2><p>'), t, F.lit('</p><figure><img src="/images/thumb/'), "source",

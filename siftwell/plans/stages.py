@@ -9,50 +9,52 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, classify, fulltext, graph, html, vectors
+from .. import config
+from ..operators import chunking, classify, fulltext, graph, html
+from ..settings import DEFAULTS, Settings
 from ..sources.tables import populated
 
-Stage = Callable[[SparkSession, str], DataFrame]
+Stage = Callable[[SparkSession, str, Settings], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
-def _clean(spark: SparkSession, folder: str) -> DataFrame:
+def _clean(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     """raw (title, url, html) -> pages_clean."""
     raw = _table(spark, folder, "raw")
     found = html.extract(raw, "url").withColumnRenamed("title", "page_title")
     return raw.select("url", "title").join(found, "url").withColumn("is_stub", F.col("word_count") < T.STUB_WORDS)
 
 
-def _classify(spark: SparkSession, folder: str) -> DataFrame:
+def _classify(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     return classify.classified(_table(spark, folder, "pages_clean").select("title", "categories"), "categories")
 
 
-def _links(spark: SparkSession, folder: str) -> DataFrame:
+def _links(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     pages = _table(spark, folder, "pages_clean")
     titles = F.filter(F.transform("hrefs", lambda h: U.href_to_title(h)), lambda t: t.isNotNull())
     edges = pages.select("title", F.posexplode(F.slice(F.array_distinct(titles), 1, graph.MAX_LINKS)).alias("ordinal", "target"))
     return graph.graph(edges, pages, "title")
 
 
-def _chunk(spark: SparkSession, folder: str) -> DataFrame:
+def _chunk(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     pages = _table(spark, folder, "pages_clean")
     box = F.array_join(F.transform("infobox", lambda p: F.concat(p["k"], F.lit(": "), p["v"])), "\n")
     boxes = pages.where(F.size("infobox") > 0).select("title", "url", F.lit(-1).alias("ordinal"), F.lit("Infobox").alias("heading"), F.lit(0).alias("level"), box.alias("text"), F.lit("content").alias("section_type"), F.lit("infobox").alias("chunk_type"))
     sections = pages.select("title", "url", F.posexplode("sections").alias("ordinal", "s")).select("title", "url", "ordinal", "s.heading", "s.level", "s.text", "s.section_type", F.lit("section").alias("chunk_type"))
     related = graph.adjacency(_table(spark, folder, "links"), "title").withColumnRenamed("targets", "related_pages")
-    return chunking.corpus_chunks(boxes.unionByName(sections), "title", _table(spark, folder, "classified"), related)
+    return chunking.corpus_chunks(boxes.unionByName(sections), "title", _table(spark, folder, "classified"), related, settings)
 
 
-def _embed(spark: SparkSession, folder: str) -> DataFrame:
+def _embed(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     chunks = _table(spark, folder, "chunks").dropDuplicates(["chunk_id"])
     text = T.embedding_text(F.col("title"), F.col("heading"), F.col("text"))
-    return vectors.embedded(chunks.select("chunk_id", text.alias("text")), "chunk_id", "text")
+    return config.embedder(settings.embedder)(chunks.select("chunk_id", text.alias("text")), "chunk_id", "text", settings.dimension)
 
 
-def _index(spark: SparkSession, folder: str) -> DataFrame:
+def _index(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     return fulltext.postings(_table(spark, folder, "chunks"), "chunk_id", "text")
 
 
@@ -62,8 +64,9 @@ STAGES: dict[str, tuple[str, Stage]] = {
 }
 
 
-def run(spark: SparkSession, folder: str, start: str | None = None, only: str | None = None, skip_populated: bool = False) -> list[str]:
-    """Runs all stages, those from start on, or only one; returns the names of those that ran."""
+def run(spark: SparkSession, folder: str, start: str | None = None, only: str | None = None, skip_populated: bool = False, settings: Settings = DEFAULTS) -> list[str]:
+    """Runs all stages, those from start on, or only one, under the settings; returns the names of those that ran."""
+    config.chunker(settings.chunker), config.embedder(settings.embedder)  # unknown names are refused before anything runs
     for name in (start, only):
         if name is not None and name not in STAGES:
             raise ValueError(f"unknown stage {name}")
@@ -74,6 +77,6 @@ def run(spark: SparkSession, folder: str, start: str | None = None, only: str |
         table, stage = STAGES[name]
         if skip_populated and populated(spark, f"{folder}/{table}"):
             continue
-        stage(spark, folder).write.mode("overwrite").parquet(f"{folder}/{table}")
+        stage(spark, folder, settings).write.mode("overwrite").parquet(f"{folder}/{table}")
         ran.append(name)
     return ran

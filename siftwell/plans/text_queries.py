@@ -91,8 +91,9 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, c AS (SELECT *, {COUNT.format('text')}::BIGINT AS token_count FROM lines WHERE text <> '')
     SELECT doc_id, ordinal, token_count, substr(md5(doc_id || '|line|0'), 1, 16) AS chunk_id FROM c WHERE token_count BETWEEN 10 AND 512""")
 def chunk_sections_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = lines(spark, sf_dir).withColumns({"heading": F.lit("line"), "level": F.lit(2), "section_type": F.lit("content")})
-    out = chunking.section_chunks(sections.where(T.token_count(F.col("text")) <= chunking.MAX_TOKENS), "doc_id")
+    """All lines are chunked; those that fit whole are returned, the pieces of the others are chunk_split_structured's matter."""
+    sections = lines(spark, sf_dir).withColumns({"heading": F.lit("line"), "level": F.lit(2), "section_type": F.lit("content"), "whole": T.token_count(F.col("text"))})
+    out = chunking.section_chunks(sections, "doc_id").where(F.col("whole") <= chunking.MAX_TOKENS)
     return out.select("doc_id", "ordinal", "token_count", "chunk_id")
 
 
@@ -210,6 +211,21 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("conv_id", "turn", F.round(metrics.token_f1(F.col("question"), F.col("answer")), 6).alias("token_f1"))
 
 
+@query(rf"""WITH {ANSWERS}, sets AS (SELECT conv_id, turn, question, answer, list_distinct(list_filter(string_split_regex(lower(question), '\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(answer), '\s+'), lambda w: w <> '')) AS b FROM answers),
+    scored AS (SELECT turn, round(CASE WHEN len(list_intersect(a, b)) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END, 6) AS token_f1, length(question) // 4 AS prompt, length(answer) // 4 AS completion FROM sets)
+    SELECT 'model-' || (turn % 3) AS model, count(*) AS n, round(avg(token_f1), 6) AS token_f1, round(avg(CASE WHEN turn % 5 <> 0 THEN token_f1 END), 6) AS faithfulness, count(token_f1) AS n_token_f1, count(CASE WHEN turn % 5 <> 0 THEN token_f1 END) AS n_faithfulness,
+        sum(prompt)::BIGINT AS prompt_tokens, sum(CASE WHEN turn % 5 <> 0 THEN completion ELSE 0 END)::BIGINT AS completion_tokens FROM scored GROUP BY 1""")
+def generator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, those of a metric that some answers lack, numbers of values and token sums of each model."""
+    a = answers(spark, sf_dir)
+    known = F.col("turn") % 5 != 0
+    rows = a.select(
+        F.concat(F.lit("model-"), (F.col("turn") % 3).cast("string")).alias("model"), F.round(metrics.token_f1(F.col("question"), F.col("answer")), 6).alias("token_f1"),
+        F.floor(F.length("question") / 4).alias("prompt_tokens"), F.when(known, F.floor(F.length("answer") / 4)).alias("completion_tokens"), known.alias("known"),
+    )
+    return metrics.summary(rows.withColumn("faithfulness", F.when(F.col("known"), F.col("token_f1"))), ["model"], ["token_f1", "faithfulness"], ["prompt_tokens", "completion_tokens"])
+
+
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.rouge_l(answers(spark, sf_dir), ["conv_id", "turn"], "answer", "question")
@@ -229,7 +245,12 @@ def citation_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", metrics.citation_faithfulness(only, titles, F.lit("source page")).alias("faithfulness"))
 
 
-@query()
+@query(rf"""WITH {ANSWERS}, cut AS (
+        SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS words,
+            unnest(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM answers
+    ), best AS (
+        SELECT conv_id, turn, arg_max(s, (n, -length(s), s)) AS s FROM (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')), words)) AS n FROM cut) GROUP BY ALL
+    ) SELECT conv_id, turn, coalesce(s || ' [1]', '') AS answer FROM answers LEFT JOIN best USING (conv_id, turn)""")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers(spark, sf_dir).select("conv_id", "turn", "question", F.col("answer").alias("context"))
     return context.answered(rows).select("conv_id", "turn", "answer")

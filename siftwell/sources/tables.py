@@ -117,3 +117,23 @@ def markdown_report(summary: DataFrame, columns: list[str], decimals: int = 3) -
     head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     shown = [[f"{v:.{decimals}f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in rows]
     return "\n".join(head + ["| " + " | ".join(r) + " |" for r in shown])
+
+
+def write_json(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Rows as JSON lines over what was there; files bounds the number of files, 1 for a report of few rows."""
+    (rows.coalesce(files) if files else rows).write.mode("overwrite").json(path)
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a table; 0 for one that is not there."""
+    return spark.read.parquet(path).count() if populated(spark, path) else 0
+
+
+def reset(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table with this schema in place of what was there."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def stamped(rows: DataFrame, column: str = "scraped_at") -> DataFrame:
+    """rows with the time of the run, the same in all of them."""
+    return rows.withColumn(column, T.run_stamp())

@@ -1,9 +1,13 @@
+import random
+from datetime import datetime, timezone
 import gzip
 import json
 
 import pytest
 from pyspark.sql import functions as F
+from siftwell.operators import chunking, context, fusion, metrics
 from siftwell.plans import stages
+from siftwell.settings import DEFAULTS, Settings
 from siftwell.sources import tables
 from siftwell.streaming import incremental
 
@@ -75,3 +79,59 @@ def test_stages_run_in_order_and_alone(spark, tmp_path):
     assert stages.run(spark, folder, skip_populated=True) == [] and stages.run(spark, folder, only="links") == ["links"] and stages.run(spark, folder, start="embed") == ["embed", "index"]
     with pytest.raises(ValueError):
         stages.run(spark, folder, only="nothing")
+
+
+def test_stages_under_other_settings(spark, tmp_path):
+    page = '<div id="mw-content-text"><div class="mw-parser-output"><p>{}</p></div></div>'
+    spark.createDataFrame([("u/A", "A", page.format("some words of a sentence that goes on. " * 30))], "url string, title string, html string").write.parquet(str(tmp_path / "raw"))
+    small = Settings(max_tokens=40, overlap=0, dimension=16)
+    stages.run(spark, str(tmp_path), settings=small)
+    chunks = spark.read.parquet(f"{tmp_path}/chunks").collect()
+    assert len(chunks) > 1 and all(r.token_count <= 40 for r in chunks)
+    assert {len(r.embedding) for r in spark.read.parquet(f"{tmp_path}/vectors").collect()} == {16}
+    for wrong in (Settings(chunker="none"), Settings(embedder="none")):
+        with pytest.raises(ValueError):
+            stages.run(spark, str(tmp_path), settings=wrong)
+
+
+def test_defaults_reach_the_operators():
+    assert (chunking.MAX_TOKENS, fusion.ALPHA, context.BUDGET) == (DEFAULTS.max_tokens, DEFAULTS.alpha, DEFAULTS.context_tokens)
+
+
+def test_counts_resets_reports_and_stamps(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert tables.row_count(spark, path) == 0
+    spark.range(7).write.parquet(path)
+    assert tables.row_count(spark, path) == 7
+    tables.reset(spark, path, "id bigint")
+    assert tables.row_count(spark, path) == 0 and spark.read.parquet(path).columns == ["id"]
+    tables.write_json(spark.range(50).repartition(5), str(tmp_path / "report"), files=1)
+    tables.write_json(spark.range(3), str(tmp_path / "report"), files=1)
+    assert len(list((tmp_path / "report").glob("*.json"))) == 1
+    assert [r.id for r in tables.lines(spark, str(tmp_path / "report"), "id bigint").orderBy("id").collect()] == [0, 1, 2]
+    (tmp_path / "one.json").write_text('{\n "id": 5,\n "more": 1\n}')
+    assert [r.id for r in tables.documents_json(spark, str(tmp_path / "one.json"), "id bigint").collect()] == [5]
+    stamps = {r.scraped_at for r in tables.stamped(spark.range(4)).collect()}
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    assert len(stamps) == 1 and abs((datetime.strptime(stamps.pop(), "%Y-%m-%dT%H:%M:%SZ") - now).total_seconds()) < 300
+
+
+def test_latency_and_longest_common_subsequence(spark):
+    got = metrics.latency(spark, {"a": lambda: spark.range(10), "b": lambda: spark.range(20)}, 4).collect()
+    assert [r.config for r in got] == ["a", "b"] and all(r.seconds > 0 and abs(r.seconds_a_question * 4 - r.seconds) < 1e-9 for r in got)
+    rnd = random.Random(3)
+    rows = [(k, " ".join(rnd.choices("ab c dd".split(), k=rnd.randint(0, 9))), " ".join(rnd.choices("AB c dd e".split(), k=rnd.randint(0, 9)))) for k in range(60)]
+
+    def longest(a, b):
+        best = 0
+        for mask in range(1 << len(a)):
+            own, at = [x for k, x in enumerate(a) if mask >> k & 1], 0
+            for y in b:
+                at += at < len(own) and own[at] == y
+            best = max(best, at if at == len(own) else 0)
+        return best
+
+    found = {r.k: r.rouge_l for r in metrics.rouge_l(spark.createDataFrame(rows, "k bigint, a string, b string"), ["k"], "a", "b").collect()}
+    for k, a, b in rows:
+        x, y = a.lower().split(), b.lower().split()
+        assert found[k] == pytest.approx(2 * longest(x, y) / (len(x) + len(y)) if x and y else 0)

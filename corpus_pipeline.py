@@ -45,7 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the row with the smallest id stays, once; rows without an id come last.
 
     Near-duplicates are texts whose five-word shingles have a Jaccard similarity
-    of 0.8 or more, and a group is what such links join. Rows are told apart by
+    of 0.8 or more, and a group is what such links join. Candidates are operator
+    6's links and, as fingerprints lose pairs at that similarity, those of an exact
+    prefix filter; all are compared exactly. Rows are told apart by
     id and text, so that of different texts with one id each is judged by itself.
     Texts without words, null ones too, are near-duplicates of one another; rows
     with neither id nor text hold nothing to compare, and one of them stays.

@@ -54,3 +54,25 @@ def test_stages_on_edges(spark, sf):
             assert out.columns == rows.columns and none.columns == empty_docs(spark).columns
     ids = [r.doc_id for r in p.drop_near_duplicates(spark, rows, sf).collect()]
     assert ids.count(1) == 1 and 5 not in ids and 3 not in ids and ids.count(None) == 2
+
+
+def test_contaminated_texts_go_and_others_of_their_id_stay(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    clean, other = "nothing of that kind is written here at all " * 4, "some wholly different words about towns and rivers " * 4
+    rows = [(1, f"before it {item} and after it", "x"), (1, clean, "x"), (None, item, None), (None, other, "y"), (2, clean, "z"), (2, None, "z"), (3, item.upper(), "w"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, found_name string").withColumnRenamed("found_name", "copy")
+    kept = p.drop_contaminated(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [r for r in rows if r[1] in (clean, other, None)]))
+
+
+def test_stages_run_over_the_whole_pipeline_with_clashing_ids(spark, sf, tmp_path):
+    """Every clean text keeps its tokens, whatever its id; copies keep one row."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [f"a plain text number {k} about the house by the river and the road to the town" for k in range(6)]
+    rows = [(None if k % 2 else 0, t, None, None, None) for k, t in enumerate(texts)]
+    more = docs.unionByName(spark.createDataFrame(rows + rows[:2], docs.schema))
+    for name, stage in p.STAGES[:-1]:
+        more = stage(spark, more, sf)
+    left = [r.text for r in more.collect() if r.text in texts]
+    assert sorted(left) == sorted(texts)

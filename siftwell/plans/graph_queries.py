@@ -146,7 +146,8 @@ PAGE_TEXTS = rf"""bodies AS (
 @query(f"WITH {PAGE_TEXTS} SELECT page_id, 0 AS ordinal, 'Introduction' AS heading, 1 AS level, 'content' AS section_type, md5(text) AS text_md5 FROM sized WHERE text <> ''")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", F.posexplode("sections").alias("ordinal", "s")).select("page_id", "ordinal", "s.heading", "s.level", "s.section_type", F.md5("s.text").alias("text_md5"))
+    each = found.select("page_id", F.posexplode_outer("sections").alias("ordinal", "s")).where("ordinal is not null")  # a plain explode filters first, and so computes all twice
+    return each.select("page_id", "ordinal", "s.heading", "s.level", "s.section_type", F.md5("s.text").alias("text_md5"))
 
 
 @query(f"WITH {PAGE_TEXTS} SELECT page_id, title, word_count::BIGINT AS word_count, (text <> '')::BIGINT AS n_sections, n_hrefs::BIGINT AS n_hrefs, 0::BIGINT AS n_tables, 0::BIGINT AS n_images, NULL::VARCHAR AS error FROM sized")

@@ -220,11 +220,8 @@ def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = headings(spark, sf_dir)
     name = F.when(F.col("ordinal") % 7 == 0, "History").when(F.col("ordinal") % 7 == 3, "Upcoming").when(F.col("ordinal") % 7 == 5, "See also").otherwise(F.col("heading"))
-    low = F.lower(name)
-    top = F.when(low.rlike("|".join(html.HISTORY_TOP)), "history").when(low.rlike("|".join(html.FUTURE_TOP)), "future").when(low.isin(*html.NAVIGATION), "navigation").otherwise("content")
-    deep = F.when(low.rlike("|".join(html.HISTORY_DEEP)), "history").when(low.rlike("|".join(html.FUTURE_DEEP)), "future")
     order = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("level") == 2, top).otherwise(deep)
+    mark = html.section_mark(F.col("level"), name)
     return rows.withColumn("mark", mark).select("doc_id", "ordinal", F.coalesce(F.last("mark", ignorenulls=True).over(order), F.lit("content")).alias("section_type"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, media, packing, simhash, token_counts, toxicity, url_filter, warc
+from . import collocations, decontaminate, language_id, licenses, media, mixing, packing, resample, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 #: host, path, verdict (the contract's rules).
@@ -73,9 +73,22 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_license_scan, op3_decontamination, op4_language_id, op5_toxicity,
     op6_simhash, op7_media, op8_url_filter, op9_packing, op10_warc_derivatives,
+    op11_source_mixing, op12_collocations, op13_importance_resampling,
 )}
 
 ORACLES = {
@@ -93,4 +106,54 @@ ORACLES = {
         )
         SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1
     """,
+    "op11_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || doc_id) AS h FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+        ), w AS (
+            SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::HUGEINT AS weight FROM s
+        ), levels AS (
+            SELECT *, 3 * sum(source_size) OVER () - 2 * coalesce(sum(2 * source_size) OVER before, 0) AS rest,
+                   2 * (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS over
+            FROM w WINDOW before AS (ORDER BY source_size * (6 // weight), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), level AS (
+            SELECT arg_max(rest, over) AS rest, max(over) AS over FROM levels WHERE rest * weight <= over * 2 * source_size
+        ), t AS (
+            SELECT source, source_size, CASE WHEN levels.rest * weight > levels.over * 2 * source_size THEN (2 * source_size)::DOUBLE ELSE (level.rest * weight)::DOUBLE / level.over::DOUBLE END AS target,
+                   CASE WHEN levels.rest * weight > levels.over * 2 * source_size THEN 2 * source_size ELSE level.rest * weight // level.over END AS words
+            FROM levels, level
+        ), p AS (
+            SELECT d.doc_id, d.size, t.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id) - d.size AS begin_at FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(begin_at + size, words % source_size) - begin_at) END::BIGINT AS taken FROM p
+    """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), lists AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists), (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+        ), totals AS (
+            SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang
+        ), cuts AS (
+            SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1 : c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1 :], ' ') AS rest
+            FROM f, (SELECT unnest([1, 2, 3, 4]) AS c) WHERE c < k
+        ), each AS (
+            SELECT cuts.*, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN totals ON totals.lang = cuts.lang
+        ), best AS (
+            SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+        ), kept AS (
+            SELECT * FROM best WHERE NOT EXISTS (
+                SELECT 1 FROM f WHERE f.lang = best.lang AND f.k > best.k AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' ') AND 100 * f.f >= 100 * a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000
+    """,
 }

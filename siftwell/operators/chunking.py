@@ -62,8 +62,9 @@ def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
     """Sentences and list lines packed up to most tokens.
 
     Where prose overflows, the last whole sentences of overlap tokens at most
-    start the next chunk; where a list line does, nothing is carried over. A unit
-    over most is split by words.
+    start the next chunk, as far as the sentence that overflowed still fits beside
+    them; where a list line does, nothing is carried over. A unit over most is
+    split by words.
     """
     units = [(u, count(u), is_list) for block, is_list in list_blocks(text) for u in (block.split("\n") if is_list else filter(None, map(str.strip, _SENTENCE.split(block))))]
     out: list[str] = []
@@ -77,8 +78,8 @@ def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
             continue
         if held and sum(k for _, k in held) + n > most:
             out.append(" ".join(u for u, _ in held))
-            kept, total = 0, 0
-            while not is_list and kept < len(held) and total + held[-1 - kept][1] <= overlap:
+            kept, total, room = 0, 0, min(overlap, most - n)
+            while not is_list and kept < len(held) and total + held[-1 - kept][1] <= room:
                 total += held[-1 - kept][1]
                 kept += 1
             held = held[len(held) - kept :] if kept else []

@@ -1,7 +1,7 @@
 """Structured extraction from HTML pages.
 
-The parser of the standard library turns each page into a flat list of nodes in
-document order; all that is taken from a page is a Column expression over that
+Each page is cut into tags and texts in linear time and turned into a flat list of
+nodes in document order; all that is taken from a page is a Column expression over that
 list, so a page stays one row and nothing is shuffled. A node's elements and
 texts are the list's run from its own place to its last, and for a few named
 selectors each node carries the place of the nearest element, itself or above,
@@ -11,14 +11,15 @@ that fits.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import Cutter
 from ..functions.urls import SITE
 from ..shipping import ship
 
@@ -78,13 +79,13 @@ def _fitting(tag: str, ident: str, classes: str) -> tuple[bool, ...]:
     return tuple(any((not t or t == tag) and (not mark or name in found[mark]) for t, mark, name in p) for p in parts)
 
 
-class _Nodes(HTMLParser):
+class _Nodes:
     """Elements and texts of one page in document order: (parent, tag, id, classes, text, link, alt, *nearest), and the last place inside each."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.rows, self.until = [], []
         self.open = [(-1, "", (-1,) * len(NEAREST))]
+        self.named = Counter()  # how many of each tag are open
 
     def _add(self, tag: str, ident: str, classes: str, *rest: str) -> tuple:
         at = len(self.rows)
@@ -96,45 +97,37 @@ class _Nodes(HTMLParser):
         return at, tag, nearest
 
     def _end(self) -> None:
-        self.until[self.open.pop()[0]] = len(self.rows) - 1
+        at, tag, _ = self.open.pop()
+        self.named[tag] -= 1
+        self.until[at] = len(self.rows) - 1
 
-    def handle_starttag(self, tag, attrs):
+    def _start(self, tag: str, have: dict[str, str], empty: bool) -> None:
         while self.open[-1][1] in CLOSES and tag in CLOSES[self.open[-1][1]]:
             self._end()
-        have = {k: v or "" for k, v in attrs}
         node = self._add(tag, have.get("id", ""), have.get("class", ""), "", have.get("href" if tag == "a" else "src", ""), have.get("alt", ""))
         if tag not in VOID:
             self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._end()
-
-    def handle_endtag(self, tag):
-        if any(o[1] == tag for o in reversed(self.open)):
-            while self.open[-1][1] != tag:
+            self.named[tag] += 1
+            if empty:
                 self._end()
-            self._end()
-
-    def handle_data(self, data):
-        self._add("", "", "", data, "", "")
 
     def parsed(self, page: str) -> list[tuple]:
-        self.feed(page)
-        self.close()
+        for kind, first, *rest in Cutter(page).tokens():
+            if kind == "text":
+                self._add("", "", "", first, "", "")
+            elif kind == "start":
+                self._start(first, *rest)
+            elif self.named[first]:
+                while self.open[-1][1] != first:
+                    self._end()
+                self._end()
         while len(self.open) > 1:
             self._end()
         return [(at, last, *row) for at, (last, row) in enumerate(zip(self.until, self.rows))]
 
 
 def _nodes_of(page: str | None) -> tuple[list[tuple], str | None]:
-    if not page:
-        return [], "empty page"
-    try:
-        return _Nodes().parsed(page), None
-    except (ValueError, AssertionError) as e:
-        return [], f"{type(e).__name__}: {e}"
+    return (_Nodes().parsed(page), None) if page else ([], "empty page")
 
 
 def elements(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:

@@ -61,16 +61,23 @@ def citation_faithfulness(answer: Column, titles: Column, source: Column) -> Col
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
+    """Length of the longest common subsequence, a whole row of the table a step: its bits are those of one integer.
+
+    A zero at bit i says that the row's value grows there; each word of the longer
+    list changes the row by one addition, so the cost is that of the words of one
+    list times the machine words of the other.
+    """
     if len(a) < len(b):
         a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            kept, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-            diagonal = kept
-    return row[-1]
+    places: dict[str, int] = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for word in a:
+        if same := row & places.get(word, 0):
+            row = (row + same | row - same) & full
+    return len(b) - row.bit_count()
 
 
 def rouge_l(rows: DataFrame, key: list[str], answer: str, reference: str) -> DataFrame:

@@ -115,7 +115,7 @@ PACKED = _tokens(r"""WITH RECURSIVE whole AS (SELECT doc_id, trim(text) AS text,
    UNION ALL SELECT doc_id, block, pos, nth, trim(u[nth], ' ' || chr(9) || chr(10) || chr(13)), FALSE FROM (SELECT doc_id, block, min(k) AS pos, string_split(regexp_replace(string_agg(line, chr(10) ORDER BY k), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS u FROM numbered WHERE NOT is_list GROUP BY ALL), unnest(range(1, len(u) + 1)) AS r(nth)
  ), units AS (SELECT doc_id, unit, is_list, TOKENS(unit) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos, nth) AS i FROM parts WHERE is_list OR unit <> ''),
  summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, count(*) OVER (PARTITION BY doc_id) AS m FROM units),
- lapped AS (SELECT a.doc_id, a.i, count(b.i) AS back FROM summed a LEFT JOIN summed b ON b.doc_id = a.doc_id AND b.i < a.i AND NOT a.is_list AND a.upto - a.n - (b.upto - b.n) <= 50 GROUP BY ALL),
+ lapped AS (SELECT a.doc_id, a.i, count(b.i) AS back FROM summed a LEFT JOIN summed b ON b.doc_id = a.doc_id AND b.i < a.i AND NOT a.is_list AND a.upto - a.n - (b.upto - b.n) <= least(50, 512 - a.n) GROUP BY ALL),
  stepped AS (SELECT s.*, s.i - back AS carried FROM summed s JOIN lapped USING (doc_id, i)),
  walk AS (
    SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS start, 0::BIGINT AS base, 0::BIGINT AS first, 0::BIGINT AS last FROM long_

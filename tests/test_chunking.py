@@ -13,6 +13,12 @@ def test_pieces_hold_the_budget_and_every_word(text):
     assert set(text.split()) <= set(" ".join(pieces).split())
 
 
+def test_carried_sentences_leave_room_for_the_next():
+    assert C.split_text("alpha alpha gamma. alpha alpha alpha alpha alpha alpha", 8, 3) == ["alpha alpha gamma.", "alpha alpha alpha alpha alpha alpha"]
+    assert C.split_text("a. b c. d e f g. h i j k l.", 6, 4) == ["a. b c.", "b c. d e f g.", "h i j k l."]
+    assert C.split_text("a b. c. d e f g h.", 6, 3) == ["a b. c.", "c. d e f g h."]
+
+
 @given(WORDS, st.integers(5, 40))
 @settings(max_examples=200, deadline=None)
 def test_recursive_pieces_fit(text, size):

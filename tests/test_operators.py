@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +54,22 @@ def test_faithfulness_is_null_without_a_right_source(spark):
     assert [r[0] for r in rows.select(metrics.citation_faithfulness(F.col("a"), F.col("t"), F.col("s"))).collect()] == [1.0, 0.0, None, None]
 
 
+def test_lcs_equals_the_table():
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcdef"[: rnd.randint(1, 6)]) for _ in range(rnd.randint(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert metrics.lcs_length(a, b) == row[-1] == metrics.lcs_length(b, a)
+    a, b = ([f"w{rnd.randint(0, 3000)}" for _ in range(20_000)] for _ in range(2))
+    began = time.process_time()
+    metrics.lcs_length(a, b)
+    assert time.process_time() - began < 1
+
+
 def test_lcs():
     assert metrics.lcs_length("a b c d".split(), "b x d".split()) == 2 and metrics.lcs_length([], ["a"]) == 0
 

@@ -1,9 +1,9 @@
 """Operator 12, mining of collocations.
 
-Three passes over the texts. The first counts words, and how often phrases fall
-into the buckets of a table of hashes. A phrase can be frequent only if its bucket
-is, and so are the buckets of all phrases in it; the second pass gathers those
-that occur, the candidates. The third counts them: a double-array trie of the
+Three passes over the texts. The first counts words, and how often words and
+phrases fall into the buckets of tables of hashes. A phrase can be frequent only if
+its bucket is, and so are the buckets of all words and phrases in it; the second
+pass gathers those that occur, the candidates. The third counts them: a double-array trie of the
 candidates is broadcast, numpy advances the states of all text positions together,
 a word a level, and counts accepting states; the tasks' counts are summed in
 shards. More candidates than a trie may hold are counted in several passes.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,9 @@ from .trie import Trie
 LEAST = 100
 LONGEST = 5
 FIRST = 2000
-#: Phrases of 2 to so many words have tables of hash buckets, each of BUCKETS bytes in a task; longer ones go by the phrases in them.
+#: Phrases of 1 to so many words have tables of hash buckets, each of BUCKETS bytes in a task; longer ones go by the phrases in them.
 HASHED = 3
-BUCKETS = 1 << 22
+BUCKETS = 1 << 24
 #: Buckets or states in a shard of counts.
 SHARD = 1 << 16
 #: Words or phrases that a task holds before it hands them on.
@@ -37,7 +37,7 @@ HELD = 400_000
 #: Words that numpy works on together.
 BATCH_WORDS = 500_000
 #: Candidates in a trie.
-CANDIDATES = 300_000
+CANDIDATES = 200_000
 #: Long texts are read in parts of so many bytes, cut between words.
 PART_BYTES = 1_000_000
 
@@ -109,18 +109,27 @@ def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Batch
         yield held
 
 
-def _hashes(batch: _Batch, longest: int) -> list[np.ndarray]:
-    """For each length from 2 on: hashes of the phrases from each word on, with the language; 0 where a piece or the batch ends before."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(20)) + np.uint64(1)
+
+
+def _hashes(batch: _Batch, longest: int) -> Iterator[np.ndarray]:
+    """For each length from 1 on: hashes of the phrases from each word on, with the language; 0 where a piece or the batch ends before."""
     seeds = {lang: crc32(lang.encode()) for lang, _, _ in batch.texts}
     one = np.fromiter(map(crc32, batch.words), dtype=np.uint64, count=len(batch.words))
-    ended = np.fromiter((w == END for w in batch.words), dtype=bool, count=len(batch.words))
-    one[ended] = 0
-    now, alive, out = one ^ batch.each(seeds).astype(np.uint64), ~ended, []
-    for _ in range(2, longest + 1):
-        now, alive = (now[:-1] * _MIX) ^ one[len(one) - len(now) + 1 :], alive[:-1] & ~ended[len(one) - len(now) + 1 :]
-        mixed = (now ^ (now >> np.uint64(29))) * _MIX
-        out.append(np.where(alive, (mixed >> np.uint64(20)) + np.uint64(1), np.uint64(0)))
-    return out
+    inside = np.fromiter((w != END for w in batch.words), dtype=bool, count=len(batch.words))
+    now, alive = one ^ (batch.each(seeds).astype(np.uint64) << np.uint64(32)), inside
+    yield np.where(alive, _mixed(now), np.uint64(0))
+    for k in range(1, longest):
+        now, alive = (now[:-1] * _MIX) ^ one[k:], alive[:-1] & inside[k:]
+        yield np.where(alive, _mixed(now), np.uint64(0))
+
+
+def _add(table: np.ndarray, hashes: np.ndarray) -> None:
+    """Counts hashes in their buckets, up to the largest byte."""
+    at, n = np.unique(hashes % np.uint64(len(table)), return_counts=True)
+    at = at.astype(np.int64)
+    table[at] = np.minimum(table[at] + np.minimum(n, 255), 255)
 
 
 def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -128,18 +137,18 @@ def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS) -> DataFrame:
-    """First pass: rows (lang, phrase, f) of words, and (level, shard, counts) of phrases' buckets, both by task.
+    """First pass: rows (lang, phrase, f) of words, and (level, shard, counts) of buckets, both by task.
 
     A bucket's count is a byte a task: more than least need not be told apart, as
     sums of counts cut there reach least when the counts do.
     """
     ship(docs.sparkSession)
-    levels, cut = min(HASHED, longest) - 1, min(least, 255)
+    levels, cut = min(HASHED, longest), min(least, 255)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "f", "level", "shard", "counts"]
         kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        tables = [np.zeros(buckets, dtype=np.int64) for _ in range(levels)]
+        tables = [np.zeros(buckets, dtype=np.uint8) for _ in range(levels)]
         found: dict[str, Counter] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -154,8 +163,8 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest
                 found.setdefault(name, Counter()).update(batch.words[at : at + own])
                 at += n
             own = batch.own()
-            for table, h in zip(tables, _hashes(batch, longest)):
-                table += np.bincount((h[(h > 0) & own[: len(h)]] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+            for table, h in zip(tables, _hashes(batch, levels)):
+                _add(table, h[(h > 0) & own[: len(h)]])
             if sum(map(len, found.values())) > HELD:
                 yield from told()
         yield from told()
@@ -163,7 +172,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest
             for shard in range(0, buckets, SHARD):
                 part = table[shard : shard + SHARD]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:3]), pa.array([level], pa.int32()), pa.array([shard // SHARD], pa.int32()), pa.array([np.minimum(part, cut).astype(np.uint8).tobytes()], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:3]), pa.array([level], pa.int32()), pa.array([shard // SHARD], pa.int32()), pa.array([compress(np.minimum(part, cut).tobytes(), 1)], pa.binary())], names=names)
 
     return _rows(docs, text, lang).mapInArrow(counted, "lang string, phrase binary, f bigint, level int, shard int, counts binary")
 
@@ -175,14 +184,13 @@ def frequent_buckets(counted: DataFrame, least: int = LEAST, longest: int = LONG
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for level, shard, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = np.frombuffer(counts.as_buffer(), dtype=np.uint8)
-                key = (level, shard)
+                own, key = np.frombuffer(decompress(counts.as_buffer()), dtype=np.uint8), (level, shard)
                 total[key] = total[key] + own if key in total else own.astype(np.int64)
         for (level, shard), own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([shard], pa.int32()), pa.array([np.packbits(own >= min(least, 255)).tobytes()], pa.binary())], names=["level", "shard", "bits"])
 
     sums = counted.where("counts IS NOT NULL").select("level", "shard", "counts").repartition("level", "shard").mapInArrow(summed, "level int, shard int, bits binary")
-    out = [np.zeros(buckets, dtype=bool) for _ in range(min(HASHED, longest) - 1)]
+    out = [np.zeros(buckets, dtype=bool) for _ in range(min(HASHED, longest))]
     for r in sums.toLocalIterator():  # a bit a bucket in all
         own = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8)).astype(bool)
         part = out[r.level][r.shard * SHARD : (r.shard + 1) * SHARD]
@@ -215,9 +223,11 @@ def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", la
                 if fit is not None:  # all words but the last, and all but the first, are as frequent at least
                     now &= fit[:-1] & fit[1:]
                 fit = now
+                if not k:  # words are counted already
+                    continue
                 at = np.flatnonzero(now & own[: len(now)])
                 for i, lang in zip(at.tolist(), langs[at].tolist()):
-                    sets[lang].add(b" ".join(batch.words[i : i + k + 2]))
+                    sets[lang].add(b" ".join(batch.words[i : i + k + 1]))
             if sum(map(len, held.values())) > HELD:
                 yield from told()
         yield from told()
@@ -245,7 +255,11 @@ def _counted(docs: DataFrame, own: list[tuple[str, bytes]], text: str, lang: str
         for w in phrase.split(b" "):
             code.setdefault(w, len(code) + 1)
     roots = {name: len(code) + 1 + i for i, name in enumerate(sorted({name for name, _ in own}))}
-    trie = Trie([(roots[name], *map(code.__getitem__, phrase.split(b" "))) for name, phrase in own])
+    sequences = np.zeros((len(own), longest + 1), dtype=np.int32)
+    for row, (name, phrase) in zip(sequences, own):
+        found = [code[w] for w in phrase.split(b" ")]
+        row[0], row[1 : len(found) + 1] = roots[name], found
+    trie = Trie(sequences)
     sent = spark.sparkContext.broadcast((code, roots, trie))
     size = trie.size
 

@@ -99,10 +99,14 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert C.scored(f, totals).first().score == 1000 * (big - 1) * 16_000_000_000_001 // (big * (big + 7))
 
 
+def rows_of(sequences):
+    return np.array([[*s, *[0] * (4 - len(s))] for s in sequences], dtype=np.int32).reshape(-1, 4)
+
+
 @given(st.lists(st.lists(st.integers(1, 30), min_size=1, max_size=4).map(tuple), max_size=60, unique=True))
 @settings(max_examples=150, deadline=None)
 def test_trie_knows_its_sequences_and_no_others(sequences):
-    trie = Trie(sequences)
+    trie = Trie(rows_of(sequences))
     assert len(set(trie.nodes.tolist())) == len(sequences)
     prefixes = {()} | {s[:k] for s in sequences for k in range(len(s) + 1)}
     where = {(): trie.root}
@@ -119,7 +123,7 @@ def test_trie_knows_its_sequences_and_no_others(sequences):
 def test_trie_of_many_wide_nodes():
     rnd = random.Random(5)
     sequences = sorted({tuple(int(rnd.paretovariate(0.4)) % 5_000 + 1 for _ in range(rnd.randint(1, 4))) for _ in range(30_000)})
-    trie = Trie(sequences)
+    trie = Trie(rows_of(sequences))
     assert len(np.unique(trie.nodes)) == len(sequences) and trie.size < 12 * len(sequences)
     nodes = np.full(len(sequences), trie.root)
     first = np.array([s[0] for s in sequences])

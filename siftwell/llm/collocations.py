@@ -28,7 +28,7 @@ LEAST = 100
 LONGEST = 5
 FIRST = 2000
 #: Phrases of 1 to so many words have tables of hash buckets, each of BUCKETS bytes in a task; longer ones go by the phrases in them.
-HASHED = 3
+HASHED = 5
 BUCKETS = 1 << 24
 #: Buckets or states in a shard of counts.
 SHARD = 1 << 16
@@ -127,8 +127,7 @@ def _hashes(batch: _Batch, longest: int) -> Iterator[np.ndarray]:
 
 def _add(table: np.ndarray, hashes: np.ndarray) -> None:
     """Counts hashes in their buckets, up to the largest byte."""
-    at, n = np.unique(hashes % np.uint64(len(table)), return_counts=True)
-    at = at.astype(np.int64)
+    at, n = np.unique((hashes % np.uint64(len(table))).astype(np.uint32), return_counts=True)
     table[at] = np.minimum(table[at] + np.minimum(n, 255), 255)
 
 

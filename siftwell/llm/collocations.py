@@ -33,11 +33,13 @@ BUCKETS = 1 << 24
 #: Buckets or states in a shard of counts.
 SHARD = 1 << 16
 #: Words or phrases that a task holds before it hands them on.
-HELD = 400_000
+HELD = 250_000
 #: Words that numpy works on together.
-BATCH_WORDS = 500_000
+BATCH_WORDS = 250_000
+#: Candidates travel in so many shards, a row a shard and task, and each shard is gathered in one task.
+GATHERED = 4096
 #: Candidates in a trie.
-CANDIDATES = 200_000
+CANDIDATES = 300_000
 #: Long texts are read in parts of so many bytes, cut between words.
 PART_BYTES = 1_000_000
 
@@ -199,16 +201,23 @@ def frequent_buckets(counted: DataFrame, least: int = LEAST, longest: int = LONG
 
 def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
     """Second pass: (lang, phrase), distinct: phrases that occur and whose bucket and phrases within may be frequent."""
-    bits = docs.sparkSession.sparkContext.broadcast([np.packbits(t).tobytes() for t in tables])
-    sizes = [len(t) for t in tables]
+    bits = docs.sparkSession.sparkContext.broadcast([np.packbits(t) for t in tables])
+    buckets = len(tables[0])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.unpackbits(np.frombuffer(b, dtype=np.uint8))[:n].astype(bool) for b, n in zip(bits.value, sizes)]
-        held: dict[str, set[bytes]] = {}
+        tables, held = bits.value, {}
+
+        def frequent(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+            at = (h % np.uint64(buckets)).astype(np.int64)
+            return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
         def told() -> Iterator[pa.RecordBatch]:
+            shards: dict[int, list[bytes]] = {}
             for name, own in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.binary())], names=["lang", "phrase"])
+                before = name.encode() + END
+                for phrase in own:
+                    shards.setdefault(crc32(phrase) % GATHERED, []).append(before + phrase)
+            yield pa.RecordBatch.from_arrays([pa.array(list(shards.keys()), pa.int32()), pa.array(list(shards.values()), pa.list_(pa.binary()))], names=["shard", "phrases"])
             held.clear()
 
         for batch in _batches(batches, longest):
@@ -218,7 +227,7 @@ def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", la
             for k, h in enumerate(_hashes(batch, longest)):
                 now = h > 0
                 if k < len(tables):
-                    now &= tables[k][(h % np.uint64(sizes[k])).astype(np.int64)]
+                    now &= frequent(tables[k], h)
                 if fit is not None:  # all words but the last, and all but the first, are as frequent at least
                     now &= fit[:-1] & fit[1:]
                 fit = now
@@ -231,7 +240,17 @@ def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", la
                 yield from told()
         yield from told()
 
-    return _rows(docs, text, lang).mapInArrow(gathered, "lang string, phrase binary").distinct()
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[bytes]] = {}
+        for batch in batches:
+            for shard, phrases in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found.setdefault(shard, set()).update(phrases.values.to_pylist())
+        for own in found.values():
+            parts = [x.rsplit(END, 1) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())], names=["lang", "phrase"])
+
+    shards = _rows(docs, text, lang).mapInArrow(gathered, "shard int, phrases array<binary>")
+    return shards.repartition(F.col("shard")).mapInArrow(united, "lang string, phrase binary")
 
 
 def counts(docs: DataFrame, wanted: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, limit: int = CANDIDATES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, fulltext, fusion, metrics, vector_index, vectors
+from ..operators import context, fulltext, fusion, metrics, postings, vector_index, vectors
 from ..operators.kept import kept
 from .registry import query, table
 
@@ -50,12 +50,28 @@ FUSED = """
     ), top AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
 
-def keyword_leg(spark: SparkSession, sf_dir: str, k: int = fusion.KEYWORD_CANDIDATES) -> DataFrame:
-    """(item_id, doc_id, score, rank): BM25 of documents for each benchmark text."""
-    scored = fulltext.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    scored = scored.withColumn("rank_score", F.round("rank_score", 6))
-    top = fulltext.top_k(scored, "item_id", [F.asc("rank_score"), F.asc("doc_id")], k)
-    return top.select("item_id", "doc_id", F.abs("rank_score").alias("score"), "rank")
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times of change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> postings.Index:
+    """The keyword index of documents, built once for a table as it is and read by all searches of the session."""
+    known = (spark.sparkContext.applicationId, stemmed, _state(spark, f"{sf_dir}/documents.parquet"))
+    if known not in _INDEXES:
+        _INDEXES[known] = postings.build(table(spark, sf_dir, "documents"), "doc_id", "text", stemmed=stemmed)
+    return _INDEXES[known]
+
+
+def keyword_leg(spark: SparkSession, sf_dir: str, k: int = fusion.KEYWORD_CANDIDATES, stemmed: bool = False) -> DataFrame:
+    """(item_id, doc_id, score, rank): BM25 of documents for each benchmark text, by plain words or by stems."""
+    found = postings.search(stored_index(spark, sf_dir, stemmed), table(spark, sf_dir, "benchmark"), "item_id", "text", k, digits=6)
+    return found.select("item_id", "doc_id", "score", "rank")
 
 
 def semantic_leg(spark: SparkSession, sf_dir: str, k: int = fusion.CANDIDATES) -> DataFrame:
@@ -212,16 +228,13 @@ def eval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, wanted): documents in which a benchmark text stands word for word, found through its rarest word.
 
-    Each item is joined with the documents that hold its rarest word only; the
-    rest of the text is compared in the join's condition.
+    The index says which word that is and which documents hold it; the rest of the
+    text is compared in the join's condition.
     """
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    docs, items, index = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stored_index(spark, sf_dir)
     asked = items.select("item_id", F.col("text").alias("passage"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    inner = kept(words.join(fulltext.bounded(asked.select("term").distinct()), "term", "left_semi"), "held-words")
-    df = inner.groupBy("term").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("passage").alias("passage"))
-    found = inner.join(rare, "term").select("item_id", "passage", "doc_id")
+    rare = asked.join(postings.weights(index, asked), "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("passage").alias("passage"))
+    found = postings.documents_of(index, rare).select("item_id", "passage", "doc_id")
     return found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", F.col("doc_id").alias("wanted"))
 
 

@@ -207,3 +207,18 @@ def test_index_recall(spark, folder):
     found = QUERIES["knn_indexed"](spark, f"/root/testdata/{folder}").collect()
     assert len({(r.query_id, r.vec_id) for r in found} & exact) / len(exact) >= 0.9
     assert all(r.score == 1.0 for r in found if r.rank == 1)
+
+
+def test_candidates_of_similar_pairs_grow_with_the_result(spark):
+    rnd = random.Random(11)
+    words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(900)]
+    weights = [1 / (i + 5) for i in range(900)]
+    texts = [rnd.choices(words, weights, k=80) for _ in range(500)]
+    texts += [[w if rnd.random() > 0.06 else rnd.choice(words) for w in texts[i]] for i in range(0, 500, 5)]
+    found = {}
+    for n in (300, 600):
+        df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts[:n] if n == 600 else texts[:250] + texts[500:550])], "id bigint, text string")
+        w = quality.class_weights(df, "id", "text").cache()
+        found[n] = quality.candidate_pairs(w, "id").count(), quality.similar_pairs(df, "id", "text").count()
+    assert found[300][1] >= 25 and found[600][1] >= 60
+    assert all(c <= 2 * n for c, n in found.values()), found

@@ -177,48 +177,66 @@ STRATEGIES: dict[str, Callable[[str, int, int], list[str]]] = {"section_aware":
 
 
 def merge_small(chunks: DataFrame, page: str, below: int = MERGE_BELOW, most: int = MAX_TOKENS) -> DataFrame:
-    """Runs of small neighbouring chunks of a page and type become one, up to most tokens.
-
-    chunks: page, ordinal, heading, text, token_count, chunk_type. The text is
-    joined by an empty line (tables by a line feed), headings not yet in the
-    joined one are added, and each small chunk gets an id by its place. Chunks
-    below the threshold are few a page and are folded in a task a page; the
-    large ones never enter Python.
+    """Runs of small neighbouring chunks of a page and type become one, up to most tokens; adds place, from 0 in each page, and was_small.
+
+    chunks: page, ordinal, heading, text, token_count, chunk_type and whatever else.
+    The text is joined by an empty line (tables by a line feed), headings not yet in
+    the joined one are added. Of other columns images are joined, a section_type
+    becomes content, a chunk_id is made anew from heading and place, and the rest is
+    that of the first chunk. That holds for each small chunk, merged or not, but on
+    a page of one chunk, which stays as it is. Small chunks are few a page and
+    their texts are folded in a task a page; the large ones never enter Python.
     """
     ship(chunks.sparkSession)
-    order = Window.partitionBy(page).orderBy("ordinal")
-    small = F.col("token_count") < below
-    edge = (~small) | F.coalesce(F.lag("token_count").over(order) >= below, F.lit(True)) | F.coalesce(F.lag("chunk_type").over(order) != F.col("chunk_type"), F.lit(True))
-    runs = chunks.withColumn("run", F.sum(edge.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    fields = ["ordinal", "heading", "text", "token_count"]
-    folded = runs.where(small).groupBy(page, "run", "chunk_type").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-
-    @F.pandas_udf("array<struct<ordinal: bigint, heading: string, text: string, token_count: bigint>>")
+    order, whole = Window.partitionBy(page).orderBy("ordinal"), Window.partitionBy(page)
+    small = (F.col("token_count") < below) & (F.count("*").over(whole) > 1)
+    marked = chunks.withColumn("was_small", small)
+    edge = (~F.col("was_small")) | ~F.coalesce(F.lag("was_small").over(order), F.lit(False)) | F.coalesce(F.lag("chunk_type").over(order) != F.col("chunk_type"), F.lit(True))
+    runs = marked.withColumn("run", F.sum(edge.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = ["ordinal", *[c for c in chunks.columns if c not in (page, "ordinal", "chunk_type")]]
+    folded = runs.where("was_small").groupBy(page, "run", "chunk_type").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+
+    @F.pandas_udf("array<struct<first: int, n: int, heading: string, text: string, token_count: bigint>>")
     def merged(rows: pd.Series, kinds: pd.Series) -> pd.Series:
         out = []
         for run, kind in zip(rows, kinds):
             between, held = "\n" if kind == "table" else "\n\n", []
-            for r in run:
-                first = held[-1] if held else None
-                if first is not None and first["token_count"] + r["token_count"] <= most:
-                    first["text"] += between + r["text"]
-                    first["token_count"] = count(first["text"])
-                    if r["heading"] not in first["heading"]:
-                        first["heading"] += f" + {r['heading']}"
+            for i, r in enumerate(run):
+                last = held[-1] if held else None
+                if last is not None and last["token_count"] + r["token_count"] <= most:
+                    last["text"] += between + r["text"]
+                    last["token_count"] = count(last["text"])
+                    last["n"] += 1
+                    if r["heading"] not in last["heading"]:
+                        last["heading"] += f" + {r['heading']}"
                 else:
-                    held.append({k: r[k] for k in fields})
+                    held.append({"first": i, "n": 1, "heading": r["heading"], "text": r["text"], "token_count": r["token_count"]})
             out.append(held)
         return pd.Series(out)
 
-    small_rows = folded.select(page, "chunk_type", F.explode(merged("rows", "chunk_type")).alias("m")).select(page, "chunk_type", "m.*", F.lit(True).alias("was_small"))
-    large_rows = runs.where(~small).select(page, "chunk_type", *fields, F.lit(False).alias("was_small"))
-    both = small_rows.unionByName(large_rows)
-    place = F.row_number().over(Window.partitionBy(page).orderBy("ordinal")) - 1
-    return both.withColumn("place", place)
+    texts = F.transform("rows", lambda r: F.struct(r["heading"].alias("heading"), r["text"].alias("text"), r["token_count"].cast("bigint").alias("token_count")))
+    each = folded.select(page, "chunk_type", "rows", F.explode(merged(texts, "chunk_type")).alias("m"))
+
+    def joined(c: str):
+        if c in ("heading", "text", "token_count"):
+            return F.col(f"m.{c}").cast(chunks.schema[c].dataType)
+        if c == "images":
+            return F.flatten(F.transform(F.slice("rows", F.col("m.first") + 1, F.col("m.n")), lambda r: r[c]))
+        return F.lit("content") if c == "section_type" else F.get("rows", F.col("m.first"))[c]
+
+    both = each.select(page, "chunk_type", *[joined(c).alias(c) for c in fields], F.lit(True).alias("was_small")).unionByName(runs.where("NOT was_small").drop("run"))
+    both = both.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("ordinal")) - 1)
+    if "chunk_id" in chunks.columns:
+        both = both.withColumn("chunk_id", F.when(F.col("was_small"), T.chunk_id(F.col(page), F.col("heading"), F.col("place"))).otherwise(F.col("chunk_id")))
+    return both
 
 
 def corpus_chunks(sections: DataFrame, page: str, types: DataFrame, related: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Chunks with page_type (default other) and related_pages (default empty) of their page: two left joins."""
+    """Chunks, small neighbours merged, with page_type (default other) and related_pages (default empty) of their page: two left joins."""
     chunks = section_chunks(sections, page, settings.min_tokens, settings.max_tokens, settings.overlap, STRATEGIES[settings.chunker])
+    chunks = chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy(page).orderBy("ordinal", "chunk_index")) - 1).drop("chunk_index")
+    if "chunk_type" not in chunks.columns:
+        chunks = chunks.withColumn("chunk_type", F.lit("section"))
+    chunks = merge_small(chunks, page, settings.merge_below, settings.max_tokens).drop("was_small", "ordinal").withColumnRenamed("place", "ordinal")
     out = chunks.join(types.select(page, "page_type"), page, "left").join(related.select(page, "related_pages"), page, "left")
     return out.withColumn("page_type", F.coalesce("page_type", F.lit("other"))).withColumn("related_pages", F.coalesce("related_pages", F.array().cast("array<string>")))

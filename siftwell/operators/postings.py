@@ -55,11 +55,22 @@ def saturation(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
+def term_counts(words: Column) -> Column:
+    """array<struct term, tf>: how often each word stands in an array of words, by runs of the sorted array."""
+
+    def runs(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.transform(F.array(first), lambda at: F.transform(at, lambda p, j: F.struct(F.get(w, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(w)) - p).cast("bigint").alias("tf")))).getItem(0)
+
+    # lambdas' variables, so that the words are sorted once and runs found once
+    return F.when(F.size(words) > 0, F.transform(F.array(F.array_sort(words)), runs).getItem(0))
+
+
 def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool = False, group: int = GROUP) -> Index:
-    """The index of all documents, written: words are counted per document and gathered by word and group; a pass before finds the lengths.
+    """The index of all documents, written: words are counted in their row and gathered by word and group, the one shuffle; a pass before finds the lengths.
 
     stemmed: words without accents and endings, each distinct one stemmed once.
-    Rows with one key count as one document for each length. A hot word has a
+    Keys should be unique: what rows of one key bring adds up. A hot word has a
     block for each group, so no block is longer than a group.
     """
     cut = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("words")).select("key", F.size("words").cast("bigint").alias("len"), "words")
@@ -67,7 +78,7 @@ def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool =
     texts = F.when(F.col("len").isNotNull(), F.col("docs"))
     n, mean = lens.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.sum(F.col("len") * F.col("docs")) / F.sum(texts)).first()  # null texts count, but have no length
     mean = mean or 1.0
-    counted = cut.select("key", "len", F.explode("words").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
+    counted = cut.select("key", "len", F.explode(term_counts(F.col("words"))).alias("t")).select("key", "len", "t.term", "t.tf")
     if stemmed:
         counted = kept(counted, "index-counts")
         counted = counted.join(stem.stems(counted.select(F.col("term").alias("word")).distinct(), "word"), F.col("term") == F.col("word"))
@@ -84,7 +95,7 @@ def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool =
         packed += [first.alias("first"), F.transform("keys", lambda k: k - first).alias("gaps")]
     else:
         packed.append("keys")
-    out = blocks.select("term", "class", "part", *packed).repartitionByRange("term", "class").sortWithinPartitions("term", "class", "part")
+    out = blocks.select("term", "class", "part", *packed).sortWithinPartitions("term", "class", "part")
     return Index(kept(out, "index-blocks"), key, n, mean, stemmed)
 
 

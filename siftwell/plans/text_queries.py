@@ -147,10 +147,12 @@ MERGED = _tokens(rf"""WITH RECURSIVE {LINES}, c AS (SELECT doc_id, ordinal, text
    UNION ALL SELECT doc_id, run, first, last, (SELECT max(z.upto) FROM small z WHERE z.doc_id = q.doc_id AND z.run = q.run AND z.j = q.last), m
    FROM (SELECT p.doc_id, p.run, p.last + 1 AS first, p.m, (SELECT max(z.j) FROM small z WHERE z.doc_id = p.doc_id AND z.run = p.run AND z.upto - p.base <= 512) AS last FROM packs p WHERE p.last < p.m) q
  ), merged AS (
-   SELECT p.doc_id, min(ordinal) AS ordinal, string_agg('line ' || ordinal, ' + ' ORDER BY ordinal) AS heading, sum(n)::BIGINT AS token_count, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text
+   SELECT p.doc_id, min(ordinal) AS ordinal, string_agg('line ' || ordinal, ' + ' ORDER BY ordinal) AS heading, sum(n)::BIGINT AS token_count, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text, TRUE AS small
    FROM packs p JOIN small s ON s.doc_id = p.doc_id AND s.run = p.run AND s.j BETWEEN p.first AND p.last WHERE p.first > 0 GROUP BY p.doc_id, p.run, p.first
-   UNION ALL SELECT doc_id, ordinal, 'line ' || ordinal, n, text FROM runs WHERE n >= 50
- ) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS place, heading, token_count, md5(text) AS text_md5 FROM merged""")
+   UNION ALL SELECT doc_id, ordinal, 'line ' || ordinal, n, text, FALSE FROM runs WHERE n >= 50
+ ), lone AS (SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) = 1),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS place FROM merged)
+ SELECT doc_id, place, heading, token_count, md5(text) AS text_md5, substr(md5(doc_id || '|' || heading || '|' || CASE WHEN small AND doc_id NOT IN (SELECT doc_id FROM lone) THEN place ELSE 0 END), 1, 16) AS chunk_id FROM placed""")
 
 
 @query(PACKED)
@@ -168,8 +170,9 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(MERGED)
 def chunk_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).where("text <> ''").withColumns({"heading": F.concat(F.lit("line "), F.col("ordinal").cast("string")), "token_count": T.token_count(F.col("text")), "chunk_type": F.lit("section")})
+    rows = rows.withColumn("chunk_id", T.chunk_id(F.col("doc_id"), F.col("heading"), F.lit(0)))
     out = chunking.merge_small(rows, "doc_id")
-    return out.select("doc_id", F.col("place").cast("bigint").alias("place"), "heading", "token_count", F.md5("text").alias("text_md5"))
+    return out.select("doc_id", F.col("place").cast("bigint").alias("place"), "heading", "token_count", F.md5("text").alias("text_md5"), "chunk_id")
 
 
 BULLETS = f"""WITH {LINES}, marked AS (SELECT doc_id, ordinal, CASE WHEN ordinal % 5 IN (2, 3) THEN '- ' || text ELSE text END AS line FROM lines),

@@ -96,9 +96,10 @@ def flat_metadata(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Vectors as Parquet, a folder for each model and chunker, so that a search reads one of them."""
+    """Vectors as Parquet, a folder for each model and chunker, so that a search reads one of them; other models' and chunkers' stay when one is written anew."""
     parts = [c for c in ("model", "chunker") if c in vectors.columns]
-    vectors.write.mode(mode).partitionBy(*parts).parquet(path)
+    writer = vectors.write.mode(mode)
+    (writer.option("partitionOverwriteMode", "dynamic").partitionBy(*parts) if parts else writer).parquet(path)
 
 
 def populated(spark: SparkSession, path: str, least: int = 1) -> bool:
@@ -111,9 +112,11 @@ def populated(spark: SparkSession, path: str, least: int = 1) -> bool:
         raise
 
 
-def markdown_report(summary: DataFrame, columns: list[str], decimals: int = 3) -> str:
-    """A summary table of a few rows in Markdown, numbers with three decimals."""
-    rows = summary.select(*columns).limit(10_000).collect()
+def markdown_report(summary: DataFrame, columns: list[str], decimals: int = 3, most: int = 10_000) -> str:
+    """A summary table of a few rows in Markdown, numbers with three decimals; a table of more than most rows is refused."""
+    rows = summary.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no summary")
     head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     shown = [[f"{v:.{decimals}f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in rows]
     return "\n".join(head + ["| " + " | ".join(r) + " |" for r in shown])

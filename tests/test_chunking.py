@@ -1,3 +1,5 @@
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from siftwell.operators import chunking as C
@@ -51,14 +53,31 @@ def test_small_neighbours_merge(spark):
     assert got.where("page = 'q'").count() == 1
 
 
+def test_merged_chunks_have_ids_images_and_types(spark):
+    picture = lambda x: [(x, "infobox")] if x else []
+    rows = [("p", 0, "A", "a b", 2, "section", "history", 2, picture("1"), "i0"), ("p", 1, "B > A", "c", 1, "section", "future", 3, picture("2"), "i1"), ("p", 2, "A", "d", 1, "section", "content", 4, [], "i2"),
+            ("p", 3, "C", "x " * 60, 60, "section", "history", 2, picture("3"), "i3"), ("p", 4, "D", "e", 1, "section", "history", 2, picture("4"), "i4"), ("q", 0, "Z", "z", 1, "section", "history", 2, picture("5"), "i5")]
+    df = spark.createDataFrame(rows, "page string, ordinal bigint, heading string, text string, token_count bigint, chunk_type string, section_type string, level int, images array<struct<url string, context_type string>>, chunk_id string")
+    got = {(r.page, r.place): r for r in C.merge_small(df, "page").collect()}
+
+    def of(r):
+        return r.heading, r.text, r.token_count, r.section_type, r.level, [i.url for i in r.images], r.chunk_id
+
+    def own(*parts):
+        return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:16]
+
+    assert of(got["p", 0]) == ("A + B > A", "a b\n\nc\n\nd", 4, "content", 2, ["1", "2"], own("p", "A + B > A", 0))
+    assert of(got["p", 1]) == ("C", "x " * 60, 60, "history", 2, ["3"], "i3")
+    assert of(got["p", 2]) == ("D", "e", 1, "content", 2, ["4"], own("p", "D", 2))
+    assert of(got["q", 0]) == ("Z", "z", 1, "history", 2, ["5"], "i5") and len(got) == 4
+
+
 def test_section_chunks_and_corpus(spark):
     long = " ".join(f"word{k}." for k in range(1200))
     rows = [("P", 0, "Intro", 1, "tiny", "content"), ("P", 1, "Past", 2, "one two three four five six seven eight nine ten", "history"), ("P", 2, "Long", 2, long, "content")]
     sections = spark.createDataFrame(rows, "title string, ordinal int, heading string, level int, text string, section_type string")
     chunks = C.section_chunks(sections, "title").collect()
     assert all(r.token_count <= 512 for r in chunks) and {r.heading for r in chunks} == {"Past", "Long"} and sum(r.heading == "Long" for r in chunks) == 3
-    import hashlib
-
     assert [r.chunk_id for r in chunks if r.heading == "Past"] == [hashlib.md5(b"P|Past (history)|0").hexdigest()[:16]]
     types = spark.createDataFrame([("Q", "mob")], "title string, page_type string")
     related = spark.createDataFrame([("P", ["X"])], "title string, related_pages array<string>")

@@ -222,3 +222,17 @@ def test_candidates_of_similar_pairs_grow_with_the_result(spark):
         found[n] = quality.candidate_pairs(w, "id").count(), quality.similar_pairs(df, "id", "text").count()
     assert found[300][1] >= 25 and found[600][1] >= 60
     assert all(c <= 2 * n for c, n in found.values()), found
+
+
+def test_odd_vectors_have_no_neighbours(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, nan]), (3, [0.0, 1.0]), (4, [1.0, None]), (5, [1.0, 0.0, 0.0]), (6, []), (7, None), (8, [inf, 0.0]), (9, [0.0, 0.0]), (10, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    want = {1: [(1, 1.0), (10, 0.707107), (3, 0.0)], 3: [(3, 1.0), (10, 0.707107), (1, 0.0)], 5: [(5, 1.0)], 9: [(1, 0.0), (3, 0.0), (9, 0.0)], 10: [(10, 1.0), (1, 0.707107), (3, 0.707107)]}
+    for block in (2048, 2):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = {}
+        for r in sorted(vectors.neighbours(df, asked, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == want

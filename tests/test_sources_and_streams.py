@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime, timezone
 import gzip
@@ -81,6 +82,55 @@ def test_stages_run_in_order_and_alone(spark, tmp_path):
         stages.run(spark, folder, only="nothing")
 
 
+def test_small_sections_are_merged_in_the_stage_with_their_images(spark, tmp_path):
+    words = lambda n, w: " ".join([w] * n)
+    page = f'<div id="mw-content-text"><div class="mw-parser-output"><div class="infobox"><img src="/images/box.png"><tr><th>Size</th><td>{words(12, "big")}</td></tr><tr><th>Gone</th><td></td></tr></div><p>{words(12, "one")}</p><h2>Use</h2><p>{words(13, "two")}</p><figure><img src="/images/use.png"></figure><h2>History</h2><p>{words(70, "three")}</p></div></div>'
+    spark.createDataFrame([("u/A", "A", page)], "url string, title string, html string").write.parquet(str(tmp_path / "raw"))
+    stages.run(spark, str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/chunks").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.chunk_type, r.heading, r.section_type, [i.url.rsplit("/", 1)[1] for i in r.images]) for r in got] == [
+        (0, "infobox", "Infobox", "content", ["box.png"]), (1, "section", "Introduction + Use", "content", ["box.png", "use.png"]), (2, "section", "History", "history", []),
+    ]
+    assert "Gone" not in got[0].text and got[1].text == words(12, "one") + "\n\n" + words(13, "two") and got[1].token_count == 25
+    assert got[1].chunk_id == hashlib.md5(b"A|Introduction + Use|1").hexdigest()[:16] and spark.read.parquet(f"{tmp_path}/vectors").count() == 3
+
+
+def test_stages_are_skipped_by_content(spark, tmp_path):
+    page = '<div id="mw-content-text"><div class="mw-parser-output"><p>{}</p></div></div>'
+    folder, schema = str(tmp_path), "url string, title string, html string"
+
+    def write(*words):
+        spark.createDataFrame([(f"u/{i}", f"T{i}", page.format(f"{w} " * 40)) for i, w in enumerate(words)], schema).write.mode("overwrite").parquet(f"{folder}/raw")
+
+    write("a", "b")
+    assert stages.run(spark, folder, skip_unchanged=True) == list(stages.STAGES)
+    assert stages.run(spark, folder, skip_unchanged=True) == []
+    write("b", "a")
+    assert stages.run(spark, folder, skip_unchanged=True)[:2] == ["clean", "classify"]  # other rows, as many
+    write("b", "c")
+    assert stages.run(spark, folder, skip_unchanged=True) == list(stages.STAGES)
+    assert stages.run(spark, folder, skip_unchanged=True) == []
+    assert stages.run(spark, folder, only="embed", skip_unchanged=True, settings=Settings(dimension=8)) == ["embed"]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "a int, b string"), spark.createDataFrame([(2, "y"), (1, "x"), (2, "y")], "a int, b string")
+    assert stages.rows_hash(a) == stages.rows_hash(b) != stages.rows_hash(a.distinct()) and stages.rows_hash(a) != stages.rows_hash(a.withColumnRenamed("b", "c"))
+
+
+def test_vectors_of_several_models_stand_side_by_side(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for model, n in (("a", 3), ("b", 4), ("a", 2)):
+        tables.write_vectors(spark.range(n).selectExpr("id", "array(1.0, 2.0) AS embedding", f"'{model}' AS model", "'c' AS chunker"), path)
+    found = spark.read.parquet(path)
+    assert {r.model: r["count"] for r in found.groupBy("model").count().collect()} == {"a": 2, "b": 4}
+    plan = found.where("model = 'b'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan and len(found.where("model = 'b'").inputFiles()) <= len(found.inputFiles())
+
+
+def test_reports_of_too_many_rows_are_refused(spark):
+    with pytest.raises(ValueError):
+        tables.markdown_report(spark.range(5), ["id"], most=4)
+    assert tables.markdown_report(spark.range(4), ["id"], most=4).count("\n") == 5
+
+
 def test_stages_under_other_settings(spark, tmp_path):
     page = '<div id="mw-content-text"><div class="mw-parser-output"><p>{}</p></div></div>'
     spark.createDataFrame([("u/A", "A", page.format("some words of a sentence that goes on. " * 30))], "url string, title string, html string").write.parquet(str(tmp_path / "raw"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import html
 import re
 import uuid
 import zlib
@@ -15,16 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import Cutter
 from ..shipping import ship
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
-_UNSHOWN = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
+_UNSHOWN = frozenset(("script", "style", "noscript", "template"))
 _BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
-_HREF = re.compile(r"""(?i)(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_TITLE_END = re.compile("(?i)</title")
 _BLANKS = re.compile(r"[^\S\n]+")
 #: Names of codecs that are no charsets of pages.
 _NO_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "mbcs", "oem"))
@@ -128,41 +125,32 @@ def read_page(page: str) -> tuple[str, str | None, list[str]]:
     The text has no scripts, styles, comments or tags; entities are resolved and
     each block has a line of its own. Links are the distinct href values of
     anchors, in order. A comment, script or style that is not closed goes on to
-    the end; a tag that is not closed is text.
+    the end; a tag that is not closed is text. The title is that of the first title
+    element that is closed.
     """
-    parts, links, title = [], [], None
-    at, closed, untitled = 0, True, True
-    while (i := page.find("<", at)) >= 0:
-        parts.append(page[at:i])
-        tag = _TAG.match(page, i)
-        if page.startswith("<!--", i):
-            end = page.find("-->", i + 4)
-            at = end + 3 if end >= 0 else len(page)
-            continue
-        name = tag[1].lower() if tag else ""
-        opens = tag is not None and page[i + 1] != "/"
-        if opens and name in _UNSHOWN:
-            end = _UNSHOWN[name].search(page, tag.end())
-            at = end.end() if end else len(page)
-            continue
-        end = page.find(">", i + 1) if closed and (tag or page[i + 1 : i + 2] in ("!", "/", "?")) else -1
-        if end < 0:
-            closed = closed and not (tag or page[i + 1 : i + 2] in ("!", "/", "?"))  # no > is left, so none is looked for again
-            parts.append("<")
-            at = i + 1
-            continue
-        if name in _BLOCKS:
-            parts.append("\n")
-        if opens and name == "a" and (href := _HREF.search(page, tag.end(), end)):
-            links.append(html.unescape(href[1] or href[2] or href[3] or ""))
-        elif opens and name == "title" and title is None and untitled:
-            stop = _TITLE_END.search(page, end)
-            untitled = stop is not None
-            title = " ".join(html.unescape(page[end + 1 : stop.start()]).split()) if stop else None
-        at = end + 1
-    parts.append(page[at:])
-    lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape("".join(parts)).split("\n"))
-    return "\n".join(x for x in lines if x), title, list(dict.fromkeys(links))
+    parts, links, title, named, hidden, depth = [], [], None, None, "", 0
+    for kind, first, *rest in Cutter(page).tokens():
+        if hidden:  # until the element that is not shown ends
+            if first == hidden and kind != "text":
+                depth += 1 if kind == "start" else -1
+                hidden = hidden if depth else ""
+        elif kind == "text":
+            parts.append(first)
+        elif kind == "start" and first in _UNSHOWN:
+            if not rest[1]:
+                hidden, depth = first, 1
+        else:
+            if first in _BLOCKS:
+                parts.append("\n")
+            if first == "a" and kind == "start" and "href" in rest[0]:
+                links.append(rest[0]["href"])
+            elif first == "title" and title is None:
+                if kind == "start":
+                    named = len(parts)
+                elif named is not None:
+                    title = " ".join("".join(parts[named:]).split())
+    parts = (_BLANKS.sub(" ", x).strip() for x in "".join(parts).split("\n"))
+    return "\n".join(x for x in parts if x), title, list(dict.fromkeys(links))
 
 
 def plain_text(page: str) -> str:

@@ -94,12 +94,17 @@ def test_sentences_far_apart_are_no_match():
     assert scanner.scan(parts[0] + "\n" + "prose goes on. " * 9_000 + "\n" + parts[1] + "\n" + parts[2]) == []
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<title>", "<!--", "<script", "<a href='", "</title", "<", "&", "<a href=x>", "<p>", "<style>", "</script "])
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<!--", "<script", "<a href='", "</title", "<", "&", "<a href=x>", "<p>", "<style>", "</script ", "<template>", "<a title='"])
 def test_markup_is_read_in_linear_time(piece):
-    page = piece * (2_000_000 // len(piece))
-    began = time.perf_counter()
-    warc.read_page(page)
-    assert time.perf_counter() - began < 2.5
+    def seconds(size):
+        page, best = piece * (size // len(piece)), 1e9
+        for _ in range(3):
+            began = time.process_time()
+            warc.read_page(page)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(400_000) / max(seconds(100_000), 0.02) < 4 * 2.6
 
 
 def page_record(content_type, body, more=""):

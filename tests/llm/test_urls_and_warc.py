@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import random
+import re
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -75,6 +77,59 @@ def test_plain_text():
     assert warc.plain_text("") == "" and warc.plain_text("<script>open") == "" and warc.plain_text("a < b") == "a < b"
 
 
+class Reader(HTMLParser):
+    """A second reader, over the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.title, self.begun, self.hidden = [], [], None, None, []
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            self.hidden += [tag] * (tag == self.hidden[0])
+        elif tag in ("script", "style", "noscript", "template"):
+            self.hidden = [tag]
+        else:
+            self.parts.append("\n" if tag in warc._BLOCKS else "")
+            if tag == "a":
+                self.links += [v or "" for k, v in attrs if k == "href"][:1]
+            if tag == "title" and self.title is None:
+                self.begun = len(self.parts)
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in ("script", "style", "noscript", "template"):
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            self.hidden = self.hidden[1:] if tag == self.hidden[0] else self.hidden
+            return
+        self.parts.append("\n" if tag in warc._BLOCKS else "")
+        if tag == "title" and self.title is None and self.begun is not None:
+            self.title = " ".join("".join(self.parts[self.begun :]).split())
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def second_reading(page):
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in "".join(reader.parts).split("\n"))
+    return "\n".join(x for x in lines if x), reader.title, list(dict.fromkeys(reader.links))
+
+
+def test_pages_read_alike_by_a_second_reader(sf):
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{sf}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    rnd = random.Random(6)
+    pieces = ["<p>", "</p>", '<a title="a > b" href="/x">t</a>', "<a title='see href=\"foo\"' href=\"bar\">u</a>", "<A HREF=/y?a=1&amp;b=2>v", "<a data-href=no href='a b'>", "<title> T <b>x</b> </title>", "<script>if (a<b) x('</p>')</script>", "<style>a>b</style>", "<noscript><p>no</noscript>", "<template>t<template>u</template>v</template>", "<!-- <a href=z> -->", "&lt;p&gt;", "text  text", "\n", "<br/>", "<script/>", "<img alt='>'>", "é &eacute;", "a < b", "</div>"]
+    odd = ["".join(rnd.choices(pieces, k=rnd.randint(1, 14))) + "</a>" for _ in range(200)]
+    for page in (*pages, *odd):
+        assert warc.read_page(page) == second_reading(page), page
+
+
 def test_encoded_and_broken_records(spark):
     import gzip
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, context, fulltext, graph, html, metrics, quality
+from ..operators import chunking, containment, context, fulltext, graph, html, metrics, quality
 from ..shipping import ship
 from ..sources import tables
 from .graph_queries import EDGES, PAGE_TEXTS, _rank_sql, edges
@@ -175,21 +175,15 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT b.item_id, d.doc_id, d.source || '/' || d.doc_id AS path FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
     SELECT w.item_id, count(*) AS n FROM w JOIN (SELECT DISTINCT source FROM documents) s ON contains(w.path, s.source) OR contains(s.source, w.path) GROUP BY w.item_id""")
 def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that contain, or are part of, a wanted path, at any place: the substrings of either side meet the other side whole."""
+    """Paths that contain, or are part of, a wanted path, at any place."""
     docs = table(spark, sf_dir, "documents")
     paths = table(spark, sf_dir, "benchmark").join(docs, F.col("item_id") == F.col("doc_id")).select("item_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     paths = paths.where("path IS NOT NULL").groupBy("item_id", "path").agg(F.count("*").alias("times"))
     wanted = docs.select("source").where("source IS NOT NULL").distinct()
-
-    def parts(whole: str):
-        n = F.length(whole)
-        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col(whole), i, k)))
-        return F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(each)))).alias("part")
-
-    inside = paths.select("item_id", "path", "times", parts("path")).join(wanted, F.col("part") == F.col("source")).select("item_id", "path", "times", "source")
-    around = wanted.select("source", parts("source")).join(paths, F.col("part") == F.col("path")).select("item_id", "path", "times", "source")
-    return inside.unionByName(around).distinct().groupBy("item_id").agg(F.sum("times").alias("n"))
+    inside = containment.contained(wanted.withColumnRenamed("source", "inner"), paths.select(F.col("path").alias("outer"))).select(F.col("inner").alias("source"), F.col("outer").alias("path"))
+    around = containment.contained(paths.select(F.col("path").alias("inner")), wanted.withColumnRenamed("source", "outer")).select(F.col("outer").alias("source"), F.col("inner").alias("path"))
+    met = inside.unionByName(around).distinct()
+    return met.join(paths, "path").groupBy("item_id").agg(F.sum("times").alias("n"))
 
 
 @query("""SELECT conv_id, turn, round(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS chars, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations""")

@@ -172,6 +172,12 @@ def rate_limit_exceeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.over_limit(table(spark, sf_dir, "events"), "ts", "event_type", 3, "1 hour")
 
 
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL '1 hour', ts) ORDER BY ts, event_id) <= 3 AS admitted FROM events")
+def requests_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three of each kind in each hour pass, the rest are refused; the stream form is tested against this one."""
+    return incremental.admitted(table(spark, sf_dir, "events"), "ts", "event_type", "event_id", 3, "1 hour").select("event_id", "event_type", "admitted")
+
+
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min_by("event_id", F.struct("ts", "event_id"))

@@ -1,6 +1,6 @@
 import hashlib
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 import gzip
 import json
 
@@ -185,3 +185,32 @@ def test_latency_and_longest_common_subsequence(spark):
     for k, a, b in rows:
         x, y = a.lower().split(), b.lower().split()
         assert found[k] == pytest.approx(2 * longest(x, y) / (len(x) + len(y)) if x and y else 0)
+
+
+def test_requests_over_a_minutes_limit_are_refused_in_a_stream(spark, tmp_path):
+    rnd = random.Random(9)
+    schema = "event_id bigint, user_id string, ts timestamp"
+    base = datetime(2024, 1, 1)
+
+    def batch(name, rows):
+        spark.createDataFrame([(i, u, base + timedelta(seconds=s)) for i, u, s in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        found = []
+        stream = incremental.stream_admission(incremental.stream_tables(spark, str(tmp_path / "in"), schema, 1), "ts", "user_id", "event_id", 5, 60, "2 minutes")
+        incremental.run_available(stream, lambda df, n: found.extend((r.event_id, r.admitted) for r in df.collect()), str(tmp_path / "state"))
+        return dict(found)
+
+    first = [(i, rnd.choice("ab"), rnd.randint(0, 200)) for i in range(60)]
+    batch("1", first)
+    got = run()
+    df = spark.createDataFrame([(i, u, base + timedelta(seconds=s)) for i, u, s in first], schema)
+    assert got == {r.event_id: r.admitted for r in incremental.admitted(df, "ts", "user_id", "event_id", 5).collect()} and 10 < sum(got.values()) < 50
+    batch("2", [(100 + i, "a", 241 + i) for i in range(4)])
+    assert run() == {100 + i: True for i in range(4)}
+    batch("3", [(200 + i, "a", 250 + i) for i in range(4)] + [(300, "b", 250)])  # after a restart the minute's count goes on
+    assert run() == {200: True, 201: False, 202: False, 203: False, 300: True}
+    batch("4", [(400, "c", 2000)])
+    assert run() == {400: True}
+    batch("5", [(500, "a", 255), (501, "c", 2001)])  # behind the watermark
+    assert run() == {501: True}

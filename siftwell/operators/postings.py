@@ -1,7 +1,7 @@
 """A stored keyword index: posting blocks with bounds, and BM25 search that leaves out blocks which cannot reach the first k.
 
-Documents are dealt to groups of about so many, of similar length, the same groups
-for all words. A block is one word's postings in one group: sorted keys, whole
+Documents are gathered in groups of so many at most, neighbours of similar length,
+the same groups for all words. A block is one word's postings in one group: sorted keys, whole
 numbers as differences from the first, with counts and lengths; and beside them the
 largest share of a score that any of them can have.
 
@@ -13,20 +13,23 @@ of the others are opened, and the rest just where documents are left in a group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 from . import stem
 from .fulltext import B, K1, LEAST_IDF, bounded, query_terms, top_k
 from .kept import kept
 
-#: Documents in a group, about.
+#: Documents in a group at most.
 GROUP = 128
-#: Length classes for each doubling of the length.
-CLASSES = 4
 #: Postings of a query's rarest words that are opened first, about, so that the k-th best score is known from below.
 SEEDS = 1000
 #: Postings of all queries' words up to which all are opened, as sums of bounds cost more then than they spare.
@@ -37,7 +40,7 @@ SLACK = 1e-9
 
 @dataclass(frozen=True)
 class Index:
-    """blocks: term, class, part, n, bound, first, gaps or keys, tfs, lens, sorted by term; documents in all and their mean length."""
+    """blocks: term, group, n, bound, tfs, lens, first and gaps or keys, sorted by term; documents in all and their mean length."""
 
     blocks: DataFrame
     key: str
@@ -55,48 +58,69 @@ def saturation(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
-def term_counts(words: Column) -> Column:
-    """array<struct term, tf>: how often each word stands in an array of words, by runs of the sorted array."""
-
-    def runs(w: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
-        return F.transform(F.array(first), lambda at: F.transform(at, lambda p, j: F.struct(F.get(w, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(w)) - p).cast("bigint").alias("tf")))).getItem(0)
-
-    # lambdas' variables, so that the words are sorted once and runs found once
-    return F.when(F.size(words) > 0, F.transform(F.array(F.array_sort(words)), runs).getItem(0))
-
-
 def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool = False, group: int = GROUP) -> Index:
-    """The index of all documents, written: words are counted in their row and gathered by word and group, the one shuffle; a pass before finds the lengths.
+    """The index of all documents, written.
 
+    A first pass finds the mean length. In the second the documents of an Arrow
+    batch are sorted by length and put in groups, and their words are counted and
+    gathered to blocks there, so no posting is shuffled by itself; whole blocks
+    then go to files by word, and the blocks of a hot word to several.
     stemmed: words without accents and endings, each distinct one stemmed once.
-    Keys should be unique: what rows of one key bring adds up. A hot word has a
-    block for each group, so no block is longer than a group.
+    Null texts count as documents, but have no length. Keys should be unique: what
+    rows of one key bring adds up.
     """
-    cut = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("words")).select("key", F.size("words").cast("bigint").alias("len"), "words")
-    lens = kept(cut.select("len").groupBy("len").agg(F.count("*").alias("docs")), "index-lengths")
-    texts = F.when(F.col("len").isNotNull(), F.col("docs"))
-    n, mean = lens.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.sum(F.col("len") * F.col("docs")) / F.sum(texts)).first()  # null texts count, but have no length
-    mean = mean or 1.0
-    counted = cut.select("key", "len", F.explode(term_counts(F.col("words"))).alias("t")).select("key", "len", "t.term", "t.tf")
+    ship(docs.sparkSession)
+    cut = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("words"))
     if stemmed:
-        counted = kept(counted, "index-counts")
-        counted = counted.join(stem.stems(counted.select(F.col("term").alias("word")).distinct(), "word"), F.col("term") == F.col("word"))
-        counted = counted.groupBy("key", "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    kind = F.when(F.col("len") > 0, F.floor(F.log2("len") * CLASSES)).otherwise(0).cast("int").alias("class")
-    sizes = lens.groupBy(kind).agg(F.ceil(F.sum("docs") / group).cast("int").alias("parts"))  # a few rows a doubling
-    placed = counted.withColumn("class", kind).join(F.broadcast(sizes), "class").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct("key", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))))
-    blocks = placed.groupBy("term", "class", "part").agg(rows.alias("rows"), F.max(saturation(F.col("tf"), F.col("len"), mean)).alias("bound"))
-    blocks = blocks.withColumn("keys", F.col("rows.key"))
-    packed = [F.size("rows").alias("n"), "bound", F.col("rows.tf").alias("tfs"), F.col("rows.len").alias("lens")]
-    if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
-        first = F.get("keys", F.lit(0)).cast("bigint")
-        packed += [first.alias("first"), F.transform("keys", lambda k: k - first).alias("gaps")]
-    else:
-        packed.append("keys")
-    out = blocks.select("term", "class", "part", *packed).sortWithinPartitions("term", "class", "part")
-    return Index(kept(out, "index-blocks"), key, n, mean, stemmed)
+        stems = kept(stem.stems(cut.select(F.explode("words").alias("word")).distinct(), "word"), "index-stems")
+        each = cut.withColumn("row", F.monotonically_increasing_id())
+        each = kept(each.select("key", "row", F.posexplode_outer("words").alias("pos", "word")), "index-words").join(bounded(stems), "word", "left")
+        cut = each.groupBy("row", "key").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem")))), lambda w: w["stem"]).alias("words")).drop("row")
+    n, mean = cut.agg(F.count("*"), F.avg(F.size("words"))).first()
+    mean = mean or 1.0
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    packed = f"tfs array<int>, lens array<int>, {'first bigint, gaps array<bigint>' if whole else f'keys array<{dict(docs.dtypes)[key]}>'}"
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            rank = np.empty(len(lens), dtype=np.int64)
+            rank[np.argsort(lens, kind="stable")] = np.arange(len(lens))
+            order = pc.sort_indices(batch.column(0)).to_numpy()
+            place = np.empty(len(lens), dtype=np.int64)  # by key
+            place[order] = np.arange(len(lens))
+            words = batch.column(1).flatten().dictionary_encode()
+            if not len(words):
+                continue
+            doc, size = np.repeat(np.arange(len(lens)), lens), len(words.dictionary)
+            own, tf = np.unique(words.indices.to_numpy().astype(np.int64) + size * place[doc], return_counts=True)
+            code, doc = own % size, order[own // size]
+            groups = rank[doc] // group
+            by = np.lexsort((place[doc], groups, code))
+            code, doc, groups, tf = code[by], doc[by], groups[by], tf[by]
+            begin = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (groups[1:] != groups[:-1])]))
+            offsets = pa.array(np.append(begin, len(code)), pa.int32())
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean))
+            keys = batch.column(0).take(pa.array(doc))
+            columns = [words.dictionary.take(pa.array(code[begin])), pa.array(known + groups[begin]), pa.array(np.diff(np.append(begin, len(code))), pa.int32()), pa.array(np.maximum.reduceat(part, begin))]
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (tf, lens[doc])]
+            if whole:
+                found = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+                gaps = found - np.repeat(found[begin], np.diff(np.append(begin, len(code))))
+                columns += [pa.array(found[begin]), pa.ListArray.from_arrays(offsets, pa.array(gaps))]
+            else:
+                columns.append(pa.ListArray.from_arrays(offsets, keys))
+            known += int(groups.max()) + 1
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "group", "n", "bound", "tfs", "lens", *(("first", "gaps") if whole else ("keys",))])
+
+    rows = cut.where(F.size("words") > 0)
+    if whole:
+        rows = rows.where("key IS NOT NULL")
+    blocks = rows.mapInArrow(gathered, f"term string, group bigint, n int, bound double, {packed}")
+    return Index(kept(blocks.hint("rebalance", "term").sortWithinPartitions("term", "group"), "index-blocks"), key, n, mean, stemmed)
 
 
 def opened(index: Index, blocks: DataFrame) -> DataFrame:
@@ -124,16 +148,16 @@ def asked_terms(index: Index, queries: DataFrame, query_key: str, query_text: st
 
 
 def heads(index: Index, weighed: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, class, part, term, weight, most): a row for each block of a query's words, with the bound of its share; no posting is opened."""
-    blocks = index.blocks.select("term", "class", "part", "bound").join(bounded(weighed), "term")
-    return blocks.select(query_key, "class", "part", "term", "weight", (F.col("weight") * F.col("bound")).alias("most"))
+    """(query_key, group, term, weight, most): a row for each block of a query's words, with the bound of its share; no posting is opened."""
+    blocks = index.blocks.select("term", "group", "bound").join(bounded(weighed), "term")
+    return blocks.select(query_key, "group", "term", "weight", (F.col("weight") * F.col("bound")).alias("most"))
 
 
 def shares(index: Index, chosen: DataFrame, query_key: str) -> DataFrame:
-    """(query_key, class, part, key, share): a row for each document in chosen blocks (query_key, class, part, term, weight): its words' shares of the score."""
-    rows = opened(index, index.blocks.drop("n", "bound").join(chosen.select(query_key, "class", "part", "term", "weight"), ["term", "class", "part"]))
+    """(query_key, group, key, share): a row for each document in chosen blocks (query_key, group, term, weight): its words' shares of the score."""
+    rows = opened(index, index.blocks.drop("n", "bound").join(chosen.select(query_key, "group", "term", "weight"), ["term", "group"]))
     share = F.sum(F.col("weight") * saturation(F.col("tf"), F.col("len"), index.mean)).alias("share")
-    return rows.groupBy(query_key, "class", "part", "key").agg(share)
+    return rows.groupBy(query_key, "group", "key").agg(share)
 
 
 def least_scores(index: Index, weighed: DataFrame, known: DataFrame, query_key: str, k: int, seeds: int = SEEDS) -> DataFrame:
@@ -151,10 +175,10 @@ def split_blocks(known: DataFrame, least: DataFrame, query_key: str, slack: floa
     Words of the lowest bounds are not needed as long as these add up to less than
     the least score.
     """
-    rising = Window.partitionBy(query_key, "class", "part").orderBy("most", "term")
+    rising = Window.partitionBy(query_key, "group").orderBy("most", "term")
     out = known.join(bounded(least), query_key, "left").withColumn("upto", F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("needed", F.col("least").isNull() | (F.col("upto") >= F.col("least") - slack))
-    whole = Window.partitionBy(query_key, "class", "part")
+    whole = Window.partitionBy(query_key, "group")
     return out.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))).over(whole), F.lit(0.0))).drop("upto")
 
 
@@ -163,7 +187,7 @@ def fitting(index: Index, weighed: DataFrame, query_key: str, k: int, slack: flo
     known = kept(heads(index, weighed, query_key), "index-heads")
     least = kept(least_scores(index, weighed, known, query_key, k), "index-least")
     split = kept(split_blocks(known, least, query_key, slack), "index-split")
-    group = [query_key, "class", "part"]
+    group = [query_key, "group"]
     bounds = split.where("needed").groupBy(*group).agg(F.first("rest").alias("rest"), F.first("least").alias("least"))
     first = shares(index, split.where("needed"), query_key).join(bounds, group)
     left = kept(first.where(F.col("least").isNull() | (F.col("share") + F.col("rest") >= F.col("least") - slack)), "index-left")
@@ -184,7 +208,7 @@ def search(index: Index, queries: DataFrame, query_key: str, query_text: str, k:
     asked = asked_terms(index, queries, query_key, query_text)
     weighed = kept(asked.join(bounded(weights(index, asked)), "term").select(query_key, "term", "df", (F.col("idf") * F.col("times")).alias("weight")), "index-asked")
     if (weighed.agg(F.sum("df")).first()[0] or 0) <= few:
-        rows = opened(index, index.blocks.drop("class", "part", "n", "bound").join(bounded(weighed.drop("df")), "term"))
+        rows = opened(index, index.blocks.drop("group", "n", "bound").join(bounded(weighed.drop("df")), "term"))
         parts = rows.select(query_key, "key", (F.col("weight") * saturation(F.col("tf"), F.col("len"), index.mean)).alias("share"))
     else:
         parts = fitting(index, weighed, query_key, k, SLACK if digits is None else 10.0**-digits, blocks)

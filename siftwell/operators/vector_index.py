@@ -1,9 +1,10 @@
-"""An index for approximate vector search: cells around centroids, of which a query looks into the nearest.
+"""An index for approximate vector search: product-quantised codes, and an exact second look at the best.
 
-Centroids are fitted on a bounded sample; every vector is placed in its nearest
-cell. A search multiplies a batch of vectors only with the queries that look
-into the batch's cells, so its work is that of an exact search times the share
-of cells looked into.
+A unit vector is cut into parts of a few numbers, each replaced by the number of the
+nearest of 256 centroids, a byte a part. The centroids are fitted on a bounded
+sample; every vector is coded. A search reads codes alone: a query's products
+with all centroids are a table, and a vector's score is the sum of a byte's entries
+in it. The first few hundred of each query are then scored by their vectors.
 """
 
 from __future__ import annotations
@@ -11,20 +12,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .fulltext import top_k
+from .fulltext import bounded, top_k
+from .kept import kept
 from .vectors import best_of
 
-#: Queries that one pass over the index takes.
-BLOCK = 4_096
+#: Numbers in a part, a byte of code: for vectors of 4-byte numbers an eighth of their size.
+PART = 2
+CENTROIDS = 256
 #: At about so many rows, drawn by a hash of the key, the centroids are fitted.
 SAMPLE_ROWS = 20_000
-#: Vectors without clusters need most cells for a recall of 0.9; clustered ones far fewer.
-CELLS, PROBES = 32, 26
+ROUNDS = 12
+#: Coded rows and queries in a block; a block is one row of the join of both.
+BLOCK, QUERIES = 16_384, 512
+#: Rows of each query that are scored by their vectors.
+SECOND_LOOK = 200
+
+
+def usable(vector: Column, dimension: int) -> Column:
+    """Whether a vector has this length and finite numbers only."""
+    return (F.size(vector) == dimension) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -32,74 +44,94 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
-def fit_cells(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int = CELLS, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> np.ndarray:
-    """Centroids of unit length, (cells, dimension), fewer if the sample has fewer distinct vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample_rows / max(1, n)))
-    zero = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0
-    model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=15, featuresCol="f").fit(drawn.where(zero).select(array_to_vector("v").alias("f")))
-    return _unit(np.array(model.clusterCenters()))
+def fit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS, part: int = PART, seed: int = 5) -> np.ndarray:
+    """Centroids (parts, centroids, part), by k-means over a sample of rows drawn by a hash of their key.
 
-
-def placed(vectors: DataFrame, centroids: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, vector, cell) of every row with a vector."""
+    The vectors' dimension is that of most rows of the sample, and a multiple of
+    part; rows of another one are not indexed.
+    """
+    rows = vectors.where(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample_rows / max(1, rows.count())))
+    common = drawn.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dimension = common.n if common else part
+    if dimension % part:
+        raise ValueError(f"{dimension} numbers are not cut in parts of {part}")
+    sample = np.array([r.v for r in drawn.where(usable(F.col("v"), dimension)).select("v").limit(2 * sample_rows).toLocalIterator()])
+    sample = _unit(sample.reshape(-1, dimension)).reshape(-1, dimension // part, part)
+    rnd, out = np.random.default_rng(seed), np.zeros((dimension // part, CENTROIDS, part))
+    for p in range(out.shape[0]):
+        own = sample[:, p]
+        centers = own[rnd.choice(len(own), min(CENTROIDS, len(own)), replace=False)] if len(own) else out[p, :1]
+        for _ in range(ROUNDS if len(own) else 0):
+            near = _nearest(own, centers)
+            n = np.bincount(near, minlength=len(centers))
+            sums = np.stack([np.bincount(near, own[:, d], len(centers)) for d in range(part)], axis=1)
+            centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        out[p, : len(centers)], out[p, len(centers) :] = centers, centers[0]
+    return out
+
+
+def _nearest(own: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((centers**2).sum(axis=1) - 2 * own @ centers.T).argmin(axis=1)
+
+
+def coded(vectors: DataFrame, centroids: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(keys array, codes binary): every usable row, some together, a row of codes each."""
     ship(vectors.sparkSession)
+    parts, _, part = centroids.shape
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v"), parts * part))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(cell=(_unit(np.array(b["v"].tolist(), dtype=np.float64)) @ centroids.T).argmax(axis=1).astype(np.int32))
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                keys, v = batch.column(0).slice(a, BLOCK), batch.column(1).slice(a, BLOCK)
+                m = _unit(v.flatten().to_numpy().reshape(len(v), -1)).reshape(len(v), parts, part)
+                codes = np.stack([_nearest(m[:, p], centroids[p]) for p in range(parts)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([codes.tobytes()], pa.binary())], names=["keys", "codes"])
 
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"))
-    out = rows.mapInPandas(place, f"key {rows.schema['key'].dataType.simpleString()}, v array<float>, cell int")
-    return out.select(F.col("key").alias(key), F.col("v").alias(vector), "cell")
+    return rows.mapInArrow(code, f"keys array<{rows.schema['key'].dataType.simpleString()}>, codes binary")
 
 
-def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_key, key, score, rank): the k most similar of the vectors in each query's nearest cells, ties by key.
+def search(index: DataFrame, centroids: np.ndarray, vectors: DataFrame, queries: DataFrame, k: int, second_look: int = SECOND_LOOK, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_key, key, score, rank): about the k most similar vectors by cosine, scores exact, ties by key.
 
-    Queries go in blocks of BLOCK rows at most; only the cells that a block looks
-    into are read, which a table partitioned by cell skips at the source.
+    index: coded rows. Blocks of queries meet blocks of codes, and a block keeps
+    each query's best; only the vectors of the first second_look are read. Query
+    keys should be unique; queries and rows that are not usable have no neighbours.
     """
     ship(index.sparkSession)
-    found, block = None, []
-
-    def one(block: list) -> DataFrame:
-        ids = np.array([r.q for r in block])
-        matrix = _unit(np.array([r.v for r in block], dtype=np.float64))
-        near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
-        looks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for b in batches:
-                for cell, rows in b.groupby("cell"):
-                    who = looks[int(cell)]
-                    score = np.round(_unit(np.array(rows["v"].tolist(), dtype=np.float64)) @ matrix[who].T, 6)
-                    keys = rows["key"].to_numpy()
-                    row, column = best_of(score, k, np.argsort(np.argsort(keys, kind="stable")))
-                    frame = pd.DataFrame({"key": keys[row], "q": who[column], "score": score[row, column]})
-                    frame = frame if held is None else pd.concat([held, frame])
-                    held = frame.sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(k)
-            if held is not None:
-                yield held.assign(q=ids[held["q"].to_numpy()])
-
-        rows = index.where(F.col("cell").isin(*looks)).select(F.col(key).alias("key"), F.col(vector).alias("v"), "cell")
-        return rows.mapInPandas(best, "key bigint, q bigint, score double")
-
-    for r in queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            part, block = one(block), []
-            found = part if found is None else found.unionByName(part)
-    if block:
-        part = one(block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], "key bigint, q bigint, score double")
-    ranked = top_k(found, "q", [F.desc("score"), F.asc("key")], k)
+    parts, n, part = centroids.shape
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("qv")).where(usable(F.col("qv"), parts * part))
+    kinds = [rows.schema[c].dataType.simpleString() for rows, c in ((queries, query_key), (vectors, key))]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERIES):
+                keys, v = batch.column(0).slice(a, QUERIES), batch.column(1).slice(a, QUERIES)
+                m = _unit(v.flatten().to_numpy().reshape(len(v), -1))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([m.tobytes()], pa.binary())], names=["qs", "qm"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, asking = batch.column(0)[r].values, batch.column(2)[r].values
+                codes = np.frombuffer(batch.column(1)[r].as_buffer(), dtype=np.uint8).reshape(len(keys), parts)
+                q = np.frombuffer(batch.column(3)[r].as_buffer()).reshape(len(asking), parts, part)
+                score = np.zeros((len(asking), len(keys)), dtype=np.float32)
+                for p in range(parts):
+                    score += (q[:, p] @ centroids[p].T).astype(np.float32)[:, codes[:, p]]
+                place = np.empty(len(keys), np.int64)
+                place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+                row, column = best_of(score.T, second_look, place)
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(column)), keys.take(pa.array(row)), pa.array(score.T[row, column].astype(np.float64))], names=["q", "key", "near"])
+
+    blocks = kept(asked.mapInArrow(gathered, f"qs array<{kinds[0]}>, qm binary"), "query-blocks")
+    pairs = index.select("keys", "codes").crossJoin(bounded(blocks, 4))
+    near = pairs.mapInArrow(best, f"q {kinds[0]}, key {kinds[1]}, near double")
+    first = kept(top_k(near, "q", [F.desc("near"), F.asc("key")], second_look).select("q", "key"), "second-look")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    seen = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).join(bounded(first), "key").join(bounded(asked, 20_000), "q")
+    sizes = F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("qv"), F.col("qv")))
+    scored = seen.select("q", "key", F.round(F.coalesce(dot(F.col("v"), F.col("qv")) / F.nullif(sizes, F.lit(0.0)), F.lit(0.0)), 6).alias("score"))
+    ranked = top_k(scored, "q", [F.desc("score"), F.asc("key")], k)
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")

@@ -142,10 +142,10 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours through the index of cells: every row is indexed, a test holds its recall against the exact search."""
+    """Neighbours through codes of a byte for two numbers: every row is indexed, a test holds its recall against the exact search."""
     v = table(spark, sf_dir, "embeddings")
-    cells = vector_index.fit_cells(v)
-    return vector_index.search(vector_index.placed(v, cells), cells, _asked(v), 20).withColumn("rank", F.col("rank").cast("bigint"))
+    centroids = vector_index.fit(v)
+    return vector_index.search(kept(vector_index.coded(v, centroids), "codes"), centroids, v, _asked(v), 20).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {BM25}, {SEMANTIC}, {FUSED} SELECT item_id, doc_id, rank, rrf_score, semantic_score, keyword_score FROM top")

@@ -29,7 +29,7 @@ from .fulltext import B, K1, LEAST_IDF, bounded, query_terms, top_k
 from .kept import kept
 
 #: Documents in a group at most.
-GROUP = 128
+GROUP = 1024
 #: Postings of a query's rarest words that are opened first, about, so that the k-th best score is known from below.
 SEEDS = 1000
 #: Postings of all queries' words up to which all are opened, as sums of bounds cost more then than they spare.
@@ -40,7 +40,7 @@ SLACK = 1e-9
 
 @dataclass(frozen=True)
 class Index:
-    """blocks: term, group, n, bound, tfs, lens, first and gaps or keys, sorted by term; documents in all and their mean length."""
+    """blocks: term, group, n, bound, tfs, lens, first and gaps or keys; documents in all and their mean length."""
 
     blocks: DataFrame
     key: str
@@ -63,8 +63,9 @@ def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool =
 
     A first pass finds the mean length. In the second the documents of an Arrow
     batch are sorted by length and put in groups, and their words are counted and
-    gathered to blocks there, so no posting is shuffled by itself; whole blocks
-    then go to files by word, and the blocks of a hot word to several.
+    gathered to blocks there, so nothing is shuffled. All blocks of a group are in
+    one file, each batch's by word; a search reads words, counts and bounds of all
+    blocks, and opens those that it needs.
     stemmed: words without accents and endings, each distinct one stemmed once.
     Null texts count as documents, but have no length. Keys should be unique: what
     rows of one key bring adds up.
@@ -120,7 +121,7 @@ def build(docs: DataFrame, key: str, text: str, terms=T.tokens, stemmed: bool =
     if whole:
         rows = rows.where("key IS NOT NULL")
     blocks = rows.mapInArrow(gathered, f"term string, group bigint, n int, bound double, {packed}")
-    return Index(kept(blocks.hint("rebalance", "term").sortWithinPartitions("term", "group"), "index-blocks"), key, n, mean, stemmed)
+    return Index(kept(blocks, "index-blocks"), key, n, mean, stemmed)
 
 
 def opened(index: Index, blocks: DataFrame) -> DataFrame:

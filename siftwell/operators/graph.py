@@ -44,11 +44,11 @@ def stats(edges: DataFrame, source: str) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, source: str = "src", target: str = "dst", damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
-    """(node, rank), as long as the sum of changes is over the tolerance, rounds at most.
+    """(node, rank), as long as the sum of changes is over the tolerance, tested each round, rounds at most.
 
     Repeated edges are single steps, each counted. Nodes without edges out give
     their rank to all. Shares are summed before the shuffle, so a page with very
-    many links in is no single task; lineage is cut every few rounds.
+    many links in is no single task. Each round that is tested is written, others every few.
     """
     e = kept(edges.select(F.col(source).alias("s"), F.col(target).alias("d")))
     degree = e.groupBy("s").agg(F.count("*").alias("out"))
@@ -63,7 +63,7 @@ def pagerank(edges: DataFrame, source: str = "src", target: str = "dst", damping
         base = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("loose")
         after = now.join(given, F.col("node") == F.col("d"), "left").crossJoin(F.broadcast(loose))
         after = after.select("node", "out", F.col("rank").alias("old"), (base + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if k % every == 0 or k == rounds:
+        if tolerance is not None or k % every == 0 or k == rounds:
             after = kept(after)
             if tolerance is not None and after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
                 now = after.drop("old")

@@ -116,15 +116,74 @@ def case_insensitive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "page.doc_id")
 
 
-@query("SELECT e.vec_id, d.lang, md5(d.text) AS text_md5 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
+@query("SELECT e.vec_id, CASE WHEN d.doc_id % 3 = 0 THEN upper(d.lang) ELSE d.lang END AS lang, md5(d.text) AS text_md5 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
 def get_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by a table of ids, the last of repeated ids."""
-    ids = table(spark, sf_dir, "embeddings").select("vec_id")
-    asked = quality.known_only(table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars"), "doc_id", ids, "vec_id")
-    last = asked.groupBy("doc_id").agg(F.max_by(F.struct("lang", F.md5("text").alias("text_md5")), "n_chars").alias("last"))
+    """Rows by a table of ids, the last of repeated ids: every third document has a later row."""
+    ids, docs = table(spark, sf_dir, "embeddings").select("vec_id"), table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    again = docs.where("doc_id % 3 = 0").select("doc_id", F.upper("lang").alias("lang"), "text", F.lit(1).alias("written"))
+    asked = quality.known_only(docs.withColumn("written", F.lit(0)).unionByName(again), "doc_id", ids, "vec_id")
+    last = asked.groupBy("doc_id").agg(F.max_by(F.struct("lang", F.md5("text").alias("text_md5")), "written").alias("last"))
     return ids.join(last, F.col("vec_id") == F.col("doc_id")).select("vec_id", "last.lang", "last.text_md5")
 
 
+SHOWN = """shown AS (
+    SELECT conv_id, turn, nth, CASE WHEN nth = 0 THEN 'u' || turn % 3 WHEN turn % 4 = 0 THEN '' ELSE 'v' || turn % 2 END AS url, CASE WHEN nth = 0 THEN role ELSE 'both' END AS alt
+    FROM conversations, (SELECT unnest([0, 1]) AS nth)
+), gathered AS (
+    SELECT conv_id, url, alt, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 2 + nth)) AS position FROM shown WHERE url <> '' GROUP BY conv_id, url, alt
+)"""
+
+
+def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    other = F.when(F.col("turn") % 4 == 0, "").otherwise(F.concat(F.lit("v"), (F.col("turn") % 2).cast("string")))
+    images = F.array(F.struct(F.concat(F.lit("u"), (F.col("turn") % 3).cast("string")).alias("url"), F.col("role").alias("alt")), F.struct(other.alias("url"), F.lit("both").alias("alt")))
+    return context.gathered_images(said.select("conv_id", F.col("turn").alias("rank"), images.alias("images")), "conv_id")
+
+
+@query(f"WITH {SHOWN} SELECT conv_id, position, url, alt FROM gathered")
+def images_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of a conversation's turns, each whole entry once, in the order first seen."""
+    return _gathered(spark, sf_dir).select("conv_id", F.col("position").cast("bigint").alias("position"), "image.url", "image.alt")
+
+
+@query(f"WITH {SHOWN} SELECT conv_id, url, min(position) AS position, arg_max(alt, position) AS alt FROM gathered GROUP BY conv_id, url")
+def images_once_a_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context.images_by_url(_gathered(spark, sf_dir), "conv_id")
+    return found.select("conv_id", "url", F.col("position").cast("bigint").alias("position"), "image.alt")
+
+
+@query(f"""WITH {SHOWN}, asked AS (SELECT conv_id, turn, length(text) % 5 + 1 AS a, turn % 3 + 1 AS b FROM conversations),
+    named AS (SELECT conv_id, turn, 0 AS nth, a AS position FROM asked UNION ALL SELECT conv_id, turn, 1, b FROM asked)
+    SELECT named.conv_id * 100 + turn AS qid, nth::BIGINT AS nth, url FROM named JOIN gathered USING (conv_id, position)""")
+def images_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What image:N in an answer refers to; numbers without an image are left out."""
+    said = table(spark, sf_dir, "conversations").withColumn("qid", F.col("conv_id") * 100 + F.col("turn"))
+    marks = F.concat(F.lit("see image:"), (F.length("text") % 5 + 1).cast("string"), F.lit(" and ![x](image:"), (F.col("turn") % 3 + 1).cast("string"), F.lit(")"))
+    images = said.select("qid", "conv_id").join(_gathered(spark, sf_dir), "conv_id").select("qid", "position", "image")
+    return context.inline_images(said.select("qid", marks.alias("answer")), images, "qid").select("qid", F.col("nth").cast("bigint").alias("nth"), "image.url")
+
+
+@query("SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN '<think>' || role || '</think>' || chr(10) || chr(10) || text ELSE text END) AS answer_md5 FROM conversations")
+def answers_with_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasoning = F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(context.with_reasoning(F.col("text"), reasoning)).alias("answer_md5"))
+
+
+@query("""SELECT conv_id, md5(string_agg(repeat('#', greatest(turn % 4, 1)::INT) || ' ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id""")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text a page: each section's heading after as many # as its level, then its text."""
+    sections = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("heading"), (F.col("turn") % 4).cast("int").alias("level"), "text")
+    return context.page_text(sections, "conv_id").select("conv_id", F.md5("page_text").alias("text_md5"))
+
+
+@query(r"""SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS term FROM benchmark) GROUP BY ALL""")
+def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a search is made of, and how often each is asked for."""
+    return fulltext.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::BIGINT AS words, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w = 'the'))::BIGINT AS hits FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'the')")
 def keyword_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a single word matches, with their length and hits."""

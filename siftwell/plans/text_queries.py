@@ -194,12 +194,12 @@ def list_block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "block").agg(F.first("is_list").alias("is_list"), F.count("*").alias("n_lines"))
 
 
-HEADINGS = f"""{LINES}, heads AS (SELECT doc_id, ordinal, 2 + (length(text) % 3)::INT AS level, substr(text, 1, 20) AS heading FROM lines WHERE text <> '')"""
+HEADINGS = f"""{LINES}, heads AS (SELECT doc_id, ordinal, 2 + (length(text) % 3)::INT AS level, text AS heading FROM lines WHERE text <> '')"""
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ordinal, level, heading): lines as headings, their level by their length."""
-    return lines(spark, sf_dir).where("text <> ''").select("doc_id", "ordinal", (F.length("text") % 3 + 2).alias("level"), F.substring("text", 1, 20).alias("heading"))
+    return lines(spark, sf_dir).where("text <> ''").select("doc_id", "ordinal", (F.length("text") % 3 + 2).alias("level"), F.col("text").alias("heading"))
 
 
 @query(f"""WITH {HEADINGS}, up AS (

@@ -22,6 +22,9 @@ from ..shipping import ship
 
 #: Known licence sentences by identifier (fixed values, from the licences' published texts).
 SENTENCES = {
+    "zlib-1": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-2": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-3": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header-1": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     "apache-2.0-header-2": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -65,6 +68,7 @@ SENTENCES = {
 
 #: Ordered licence rules: licence, kind, the identifiers in order (fixed values).
 RULES = [
+    ("Zlib", "text", ("zlib-1", "zlib-2", "zlib-3")),
     ("Apache-2.0", "header", ("apache-2.0-header-1", "apache-2.0-header-2", "apache-2.0-header-3", "apache-2.0-header-4")),
     ("Apache-2.0", "header", ("apache-2.0-header-1", "apache-2.0-header-2-s", "apache-2.0-header-3", "apache-2.0-header-4")),
     ("Apache-2.0", "header", ("apache-2.0-header-1", "apache-2.0-header-2")),
@@ -110,7 +114,13 @@ NAMED = {
     "BSD-2-Clause": "the BSD 2-Clause License", "ISC": "the ISC License", "Unlicense": "the Unlicense", "CC0-1.0": "CC0 1.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0",
     "CC-BY-NC-4.0": "CC BY-NC 4.0", "GPL-2.0-only": "the GNU General Public License, version 2", "GPL-3.0-only": "the GNU General Public License, version 3", "AGPL-3.0-only": "the GNU Affero General Public License, version 3",
 }
-SPDX = (*NAMED, "0BSD", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0", "GPL-3.0")
+#: The titles of licences' own texts (fixed values).
+TITLES = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004", "GPL-2.0-only": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-3.0-only": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-only": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPL-3.0-only": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "AGPL-3.0-only": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0", "EPL-2.0": "Eclipse Public License - v 2.0", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+SPDX = (*NAMED, "0BSD", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0", "GPL-3.0", "EPL-2.0", "BSL-1.0", "Zlib")
 NOTICES = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under")
 
 
@@ -135,7 +145,19 @@ def _forms() -> None:
             RULES.append((licence, "notice", (f"{licence} {verb}",)))
     for licence in SPDX:
         SENTENCES[f"spdx {licence}"] = f"SPDX-License-Identifier: {licence}"
-        RULES.append(({"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only"}.get(licence, licence), "spdx", (f"spdx {licence}",)))
+        RULES.append((_today(licence), "spdx", (f"spdx {licence}",)))
+        for sign in ("OR", "AND"):
+            for other in SPDX:
+                SENTENCES[f"spdx {licence} {sign} {other}"] = f"SPDX-License-Identifier: {licence} {sign} {other}"
+                RULES.append((f"{_today(licence)} {sign} {_today(other)}", "spdx", (f"spdx {licence} {sign} {other}",)))
+    for licence, title in TITLES.items():
+        SENTENCES[f"title {licence}"] = title
+        RULES.append((licence, "title", (f"title {licence}",)))
+
+
+def _today(licence: str) -> str:
+    """The name that a licence has in SPDX now."""
+    return {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only"}.get(licence, licence)
 
 
 _forms()
@@ -224,8 +246,8 @@ def licence_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     licenses lists the distinct licences by name. Null and empty texts, and texts
     with no known sentence, have an empty list; very long texts are read whole.
-    Changed sentences, expressions of several SPDX names and comment signs made of
-    letters (REM, dnl) are not known. Repeated rows and null keys are kept; an
+    Changed sentences, expressions of more than two SPDX names and comment signs
+    made of letters (REM, dnl) are not known. Repeated rows and null keys are kept; an
     empty table gives an empty result; other columns are not read.
     """
     ship(docs.sparkSession)

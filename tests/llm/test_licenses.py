@@ -1,5 +1,7 @@
 import re
 
+import pytest
+from siftwell.llm import licenses
 from siftwell.llm.licenses import RULES, SENTENCES, Scanner, licence_matches
 from siftwell.llm.queries import QUERIES
 
@@ -44,3 +46,13 @@ def test_edges(spark):
     long = spark.createDataFrame([(1, "no end " * 50_000 + "\n" + SENTENCES["mit-notice"] + "\n" + "\nx" * 20_000)], "doc_id bigint, text string")
     assert licence_matches(long).first().licenses == ["MIT"]
     assert licence_matches(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("                                 Apache License\n                           Version 2.0, January 2004\n", ("Apache-2.0", "title")), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright", ("GPL-3.0-only", "title")),
+    ("# SPDX-License-Identifier: Apache-2.0 OR MIT\nimport x", ("Apache-2.0 OR MIT", "spdx")), ("/* SPDX-License-Identifier: (GPL-2.0 AND BSD-3-Clause) */", ("GPL-2.0-only AND BSD-3-Clause", "spdx")), ("// SPDX-License-Identifier: Zlib", ("Zlib", "spdx")),
+    ("Eclipse Public License - v 2.0\n", ("EPL-2.0", "title")), ("Boost Software License - Version 1.0 - August 17th, 2003\n", ("BSL-1.0", "title")),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin", ("Zlib", "text")),
+])
+def test_titles_expressions_and_zlib(text, want):
+    assert [m[:2] for m in licenses.Scanner().scan(text)] == [want]

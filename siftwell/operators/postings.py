@@ -33,7 +33,7 @@ GROUP = 1024
 #: Postings of a query's rarest words that are opened first, about, so that the k-th best score is known from below.
 SEEDS = 1000
 #: Postings of all queries' words up to which all are opened, as sums of bounds cost more then than they spare.
-FEW = 50_000_000
+FEW = 1_000_000_000
 #: Scores are compared with bounds up to this, as sums of doubles in another order differ.
 SLACK = 1e-9
 

@@ -75,16 +75,57 @@ def _best(words: Column, own: Column, shift: Column, width: Column) -> Column:
     same = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get(words, j + shift) == F.get(own, j), 1).otherwise(0))
 
     def over(equal: Column) -> Column:
-        def one(s: Column) -> Column:
-            n = F.aggregate(F.sequence(s, s + width - 1), F.lit(0), lambda a, k: a + F.get(equal, k))
-            return F.struct(n.alias("n"), (-(low + s + shift)).alias("doc"), (-(low + s)).alias("own"))
+        def step(seen: Column, k: Column) -> Column:
+            n = seen["n"] + F.get(equal, k) - F.when(k >= width, F.get(equal, k - width)).otherwise(0)
+            more = (k >= width - 1) & (n > seen["most"])
+            return F.struct(n.alias("n"), F.when(more, n).otherwise(seen["most"]).alias("most"), F.when(more, k - width + 1).otherwise(seen["at"]).alias("at"))
 
-        return F.array_max(F.transform(F.sequence(F.lit(0), F.size(equal) - width), one))
+        def named(seen: Column) -> Column:
+            return F.struct(seen["most"].alias("n"), (-(low + seen["at"] + shift)).alias("doc"), (-(low + seen["at"])).alias("own"))
+
+        # a window that slides by one token, so that a stretch costs a step and not its length
+        return F.aggregate(F.sequence(F.lit(0), F.size(equal) - 1), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("most"), F.lit(0).alias("at")), step, named)
 
     # a lambda's variable, so that the comparison is made once
     return F.when(high - low >= width, F.transform(F.array(same), over).getItem(0))
 
 
+def _runs(places: Column) -> Column:
+    """array<struct first, last, step>: sorted distinct places as runs of equal steps; a place alone has step 0."""
+
+    def gap(i: Column) -> Column:
+        return F.get(places, i) - F.get(places, i - 1)
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda i: (i == 0) | ((i > 1) & (gap(i) != gap(i - 1))))
+
+    def of(begun: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(begun, k + 1), F.size(places)) - 1
+            return F.struct(F.get(places, start).alias("first"), F.get(places, end).alias("last"), F.when(end > start, gap(start + 1)).otherwise(0).alias("step"))
+
+        return F.transform(begun, run)
+
+    return F.transform(F.array(starts), of).getItem(0)
+
+
+def _differences(places: Column, others: Column) -> Column:
+    """All distinct differences of two sorted lists of places; of two runs of one step they are a run, however long both are."""
+
+    def pair(x: Column, y: Column) -> Column:
+        step = F.greatest(x["step"], y["step"])
+        alike = (x["step"] == y["step"]) | (x["step"] == 0) | (y["step"] == 0)
+        run = F.sequence(x["first"] - y["last"], x["last"] - y["first"], F.greatest(step, F.lit(1)))
+        each = F.transform(F.sequence(y["first"], y["last"], F.greatest(y["step"], F.lit(1))), lambda a: F.transform(F.sequence(x["first"], x["last"], F.greatest(x["step"], F.lit(1))), lambda p: p - a))
+        return F.when(alike, run).otherwise(F.flatten(each))
+
+    def all_pairs(mine: Column, own: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(mine, lambda x: F.flatten(F.transform(own, lambda y: pair(x, y))))))
+
+    # lambdas' variables, so that the runs are made once
+    runs = F.transform(F.array(F.struct(places.alias("mine"), others.alias("own"))), lambda p: F.struct(_runs(p["mine"]).alias("mine"), _runs(p["own"]).alias("own")))
+    return F.transform(runs, lambda r: all_pairs(r["mine"], r["own"])).getItem(0)
+
+
 def _seeded_items(items: DataFrame, masks: tuple[str, ...], min_similarity: float, stretch: int) -> tuple[DataFrame, tuple[str, ...]]:
     """(item, hash, ats): all places of each seed of an item, under the masks for its length; and the masks in use."""
     lengths = sorted(r[0] for r in items.select(F.least(F.lit(stretch), F.size("own"))).distinct().collect())  # stretch rows at most
@@ -98,7 +139,7 @@ def _seeded_items(items: DataFrame, masks: tuple[str, ...], min_similarity: floa
         made = own if made is None else made.unionByName(own)
     if made is None:
         made = items.select("item", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("hash")).where(F.lit(False))
-    return made.groupBy("item", "hash").agg(F.collect_set("at").alias("ats")), tuple(used)
+    return made.groupBy("item", "hash").agg(F.sort_array(F.collect_set("at")).alias("ats")), tuple(used)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_similarity: float = MIN_SIMILARITY, stretch: int = STRETCH) -> DataFrame:
@@ -126,9 +167,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     else:  # a hash that very many documents have is dealt to several tasks
         salted = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         met = seeded.withColumn("salt", F.pmod("doc", F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"])
+    # A seed at one place of the item gives one shift a hit. One that the item repeats is kept apart: its places in the
+    # document are met with those in the item run by run, so that texts of one repeated phrase don't give the product of both.
+    first = F.get("ats", F.lit(0))
+    met = met.select("doc", "item", F.when(F.size("ats") > 1, F.col("hash")).alias("seed"), (F.col("pos") - first).alias("shift"), F.when(F.size("ats") > 1, F.transform("ats", lambda a: a - first)).alias("ats"))
+    met = met.groupBy("doc", "item", "seed").agg(F.collect_set("shift").alias("shifts"), F.first("ats").alias("ats"))
+    met = met.select("doc", "item", F.when(F.col("ats").isNull(), F.col("shifts")).otherwise(_differences(F.sort_array("shifts"), F.col("ats"))).alias("shifts"))
     # a document has no more alignments with an item than both have tokens, so one row holds them
-    met = met.select("doc", "item", "pos", F.explode("ats").alias("at"))
-    hits = met.groupBy("doc", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
+    hits = met.groupBy("doc", "item").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts"))
     hits = materialize(hits.withColumnRenamed("item", "hit_item"), "decontaminate-hits")
     found = materialize(hits.select("doc").distinct(), "decontaminate-docs")
     texts = rows.join(_bounded(found, found.count()), "doc", "left_semi").select("doc", "key", tokens(F.col("text")).alias("words"))

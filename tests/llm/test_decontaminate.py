@@ -141,3 +141,24 @@ def test_edges(spark):
     assert got[1, 1].doc_start == 0 and got[1, 1].similarity == 1.0
     assert contaminated(empty_docs(spark), items).count() == 0
     assert contaminated(rows, items.limit(0)).count() == 0
+
+
+def test_texts_of_repeated_phrases_equal_all_alignments(spark):
+    rnd = random.Random(11)
+    alone = ["a " * 60, "b a " * 30, "a b c " * 15, "a a b " * 12, "x a a a a y a a a a z a a a a", "c " * 9 + "q " + "c " * 40]
+    mixed = [" ".join(rnd.choice("ab") for _ in range(rnd.randint(5, 70))) for _ in range(40)]
+    docs = [(k, t) for k, t in enumerate(alone + mixed + ["a b " * 200 + "c c c " + "a " * 150])]
+    items = [(k, t) for k, t in enumerate(alone[::-1] + mixed[:12])]
+    got = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert found(got) == brute(docs, items)
+
+
+def test_a_repeated_seed_gives_the_shifts_and_not_the_pairs_of_places(spark):
+    from siftwell.llm.decontaminate import _differences, _runs
+
+    cases = [([*range(5_000)], [*range(800)]), ([*range(0, 900, 3)], [*range(0, 60, 3)]), ([0, 1, 2, 10, 11, 12, 30], [0, 7, 9]), ([4], [0]), ([*range(0, 40, 2), 99], [*range(0, 40, 5)])]
+    df = spark.createDataFrame([(k, p, a) for k, (p, a) in enumerate(cases)], "k int, p array<int>, a array<int>")
+    for r in df.select("k", _differences(F.col("p"), F.col("a")).alias("d"), F.size(_runs(F.col("p"))).alias("n")).collect():
+        p, a = cases[r.k]
+        assert len(r.d) == len(set(r.d)) and set(r.d) == {x - y for x in p for y in a}
+        assert r.k or r.n == 1

@@ -151,6 +151,30 @@ def test_page_text_and_reasoning(spark):
     assert one(spark, context.with_reasoning(F.col("a"), F.col("r")), a="x", r="why") == "<think>why</think>\n\nx"
 
 
+def test_a_round_of_pagerank_moves_no_edge(spark):
+    import re
+
+    e = spark.createDataFrame([(f"p{k % 50}", f"p{k * 7 % 61}") for k in range(600)] + [("hub", f"p{k}") for k in range(61)], "src string, dst string")
+    adjacent, nodes = graph.adjacent(e, edges_a_part=10)
+    hub = adjacent.where("s = 'hub'").select("part").distinct().count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph.rank_round(adjacent, nodes.withColumn("rank", F.lit(0.1)), 62, edges_a_part=10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert hub > 3 and "SortMergeJoin" in plan
+    moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    # shares to the edges' buckets, sums to their targets; no exchange of edges (s, part) or of ranks (node alone)
+    assert sorted(re.sub(r"#\d+L?", "", m) for m in moved) == ["d", "node, of"], plan
+    whole = {r.node: r.rank for r in graph.pagerank(e, rounds=8, tolerance=None).collect()}
+    dealt = {r.node: r.rank for r in graph.pagerank(e, rounds=8, tolerance=None, edges_a_part=10).collect()}
+    assert whole.keys() == dealt.keys() and all(abs(whole[k] - dealt[k]) < 1e-12 for k in whole)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siftwell_ranks")]
+
+
 def test_pagerank_sums_to_one_and_matches_power_iteration(spark):
     e = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("a", "z")]
     got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(e, "src string, dst string"), tolerance=1e-9, rounds=100).collect()}

@@ -86,9 +86,11 @@ class Encoder:
         ranks = [tokens.get(a + b, -1) for a, b in merges]
         if any(x >= y for x, y in zip(ranks, ranks[1:])):
             return None
-        alone = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges)).encode_batch_fast(list(tokens))
-        if any(len(e.ids) != 1 or e.ids[0] != i for e, i in zip(alone, tokens.values())):
-            return None
+        lone, names = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges)), list(tokens)
+        for k in range(0, len(names), 1000):  # not all at once, for the worker's memory
+            part = names[k : k + 1000]
+            if any(e.ids != [tokens[name]] for e, name in zip(lone.encode_batch_fast(part), part)):
+                return None
         byte = _byte_of()
         return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in tokens.items()}, special_tokens={})
 

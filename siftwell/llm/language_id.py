@@ -78,7 +78,8 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return {}
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sizes.items()], "learned string, share double")
+    # an Arrow table goes to the JVM as it is; a list would start a second daemon with workers of its own on each executor, which then stay
+    shares = docs.sparkSession.createDataFrame(pa.table({"learned": pa.array(list(sizes), pa.string()), "share": pa.array([min(1.0, per_lang / n) for n in sizes.values()], pa.float64())}))
     drawn = known.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

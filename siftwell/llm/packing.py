@@ -16,7 +16,8 @@ from .common import materialize
 
 WINDOW = 1024
 END_ID = 0
-SLICE_BYTES = 2_000_000
+#: Text encoded at once: ids and the tokenizers' objects take many times the room of their text.
+SLICE_BYTES = 250_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -55,11 +55,18 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _slots(often: np.ndarray) -> np.ndarray:
-    found = np.zeros(_SLOTS, dtype=bool)
-    found[(often & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+    """A bit a slot, eight to a byte: each worker holds one."""
+    found = np.zeros(_SLOTS // 8, dtype=np.uint8)
+    slot = (often & np.uint64(_SLOTS - 1)).astype(np.int64)
+    np.bitwise_or.at(found, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
     return found
 
 
+def _among(slots: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+    return (slots[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _sampled(docs: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of shingles that stand in several texts of a sample."""
 
@@ -101,7 +108,7 @@ def _marks(docs: DataFrame, shingle: int, often: np.ndarray) -> DataFrame:
                 for text in batch.column(2):
                     hashes = shingle_hashes(text.as_py(), shingle)
                     s = np.unique(hashes)
-                    behind = late[(s & np.uint64(_SLOTS - 1)).astype(np.int64)]
+                    behind = _among(late, s)
                     k = len(s) - -(-NUM * len(s) // DEN) + 1 if len(s) else 0
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
                     sizes.append(len(s))

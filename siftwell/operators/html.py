@@ -10,6 +10,7 @@ that fits.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -111,8 +112,8 @@ class _Nodes:
             if empty:
                 self._end()
 
-    def parsed(self, page: str) -> list[tuple]:
-        for kind, first, *rest in Cutter(page).tokens():
+    def parsed(self, page: str, resolve: Callable[[str], str] = html.unescape) -> list[tuple]:
+        for kind, first, *rest in Cutter(page, resolve).tokens():
             if kind == "text":
                 self._add("", "", "", first, "", "")
             elif kind == "start":
@@ -126,12 +127,12 @@ class _Nodes:
         return [(at, last, *row) for at, (last, row) in enumerate(zip(self.until, self.rows))]
 
 
-def _nodes_of(page: str | None) -> tuple[list[tuple], str | None]:
-    return (_Nodes().parsed(page), None) if page else ([], "empty page")
+def _nodes_of(page: str | None, resolve: Callable[[str], str]) -> tuple[list[tuple], str | None]:
+    return (_Nodes().parsed(page, resolve), None) if page else ([], "empty page")
 
 
-def elements(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """(key, nodes, error): each page's nodes in document order; a page that cannot be read has an error and none."""
+def elements(pages: DataFrame, key: str = "page_id", page: str = "html", resolve: Callable[[str], str] = html.unescape) -> DataFrame:
+    """(key, nodes, error): each page's nodes in document order, entities of texts resolved by resolve; a page that cannot be read has an error and none."""
     ship(pages.sparkSession)
     source = pages.select(F.col(key).alias("key"), F.col(page).cast("string").alias("page"))
 
@@ -148,7 +149,7 @@ def elements(pages: DataFrame, key: str = "page_id", page: str = "html") -> Data
         for batch in batches:
             found, first, size = [], 0, 0
             for text in batch.column(1):
-                found.append(_nodes_of(text.as_py()))
+                found.append(_nodes_of(text.as_py(), resolve))
                 size += len(found[-1][0])
                 if size >= NODES_A_BATCH:
                     yield batch_of(batch.column(0).slice(first, len(found)), found)
@@ -389,14 +390,15 @@ def _root(nodes: Column) -> Column:
     return _let(_first(nodes, lambda n: _fits(n, "div#mw-content-text")), best)
 
 
-def extract(pages: DataFrame, key: str = "page_id", page: str = "html", site: str = SITE) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", page: str = "html", site: str = SITE, resolve: Callable[[str], str] = html.unescape) -> DataFrame:
     """(key, title, sections, infobox, tables, images, hrefs, categories, word_count, error) of every page.
 
     A page that is null or empty, cannot be parsed or has no content element has
-    an error and empty lists. Repeated pages give a row each.
+    an error and empty lists. Repeated pages give a row each. resolve is what
+    resolves the entities of texts, by HTML's rules if no other is given.
     """
     nodes = F.col("nodes")
-    rooted = elements(pages, key, page).withColumn("root", _root(nodes))
+    rooted = elements(pages, key, page, resolve).withColumn("root", _root(nodes))
     bare = _Page(nodes, F.col("root"))
     box = _first(bare.inside(bare.root), lambda n: (_fits(n, "div.infobox") | _fits(n, "div.notaninfobox")) & bare.quiet(n))
     boxed = rooted.withColumn("box", box)

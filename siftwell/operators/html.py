@@ -266,8 +266,8 @@ class _Page:
         said = F.filter(self.inside(n, itself=True), lambda x: F.when(x["tag"] == "", (x["wikitable"] <= self.root["at"]) & self.kept(x)).otherwise(outer(x)))
         return F.transform(said, lambda x: F.when(x["tag"] == "", x["text"]).otherwise(self.markdown(x)))
 
-    def sections(self) -> Column:
-        """The direct children of the content in order, cut at headings; texts, tables and blocks are what a section says."""
+    def sections(self, empty: bool = False) -> Column:
+        """The direct children of the content in order, cut at headings; texts, tables and blocks are what a section says; those that say nothing go, unless empty keeps the ones with a heading."""
 
         def child(n: Column) -> Column:
             says = (n["tag"] == "") | self.table(n) | (n["tag"].isin(*BLOCKS) & ~_fits(n, "div.mw-heading"))
@@ -289,7 +289,7 @@ class _Page:
                 text = _clean(F.array_join(F.slice(children, start + 1, stop - start)["said"], " "))
                 return F.struct(o["path"].alias("heading"), o["level"].alias("level"), text.alias("text"), o["section_type"].alias("section_type"))
 
-            return F.filter(F.transform(outlined, section), lambda s: s["text"] != "")
+            return F.filter(F.transform(outlined, section), lambda s, i: (s["text"] != "") | (F.lit(empty) & (i > 0)))
 
         return _let(F.transform(F.filter(self.inside(self.root), lambda n: (n["parent"] == self.root["at"]) & self.kept(n)), child), cut)
 
@@ -390,12 +390,13 @@ def _root(nodes: Column) -> Column:
     return _let(_first(nodes, lambda n: _fits(n, "div#mw-content-text")), best)
 
 
-def extract(pages: DataFrame, key: str = "page_id", page: str = "html", site: str = SITE, resolve: Callable[[str], str] = html.unescape) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", page: str = "html", site: str = SITE, resolve: Callable[[str], str] = html.unescape, empty: bool = False) -> DataFrame:
     """(key, title, sections, infobox, tables, images, hrefs, categories, word_count, error) of every page.
 
     A page that is null or empty, cannot be parsed or has no content element has
     an error and empty lists. Repeated pages give a row each. resolve is what
-    resolves the entities of texts, by HTML's rules if no other is given.
+    resolves the entities of texts, by HTML's rules if no other is given; empty
+    keeps sections with a heading and no text.
     """
     nodes = F.col("nodes")
     rooted = elements(pages, key, page, resolve).withColumn("root", _root(nodes))
@@ -404,7 +405,7 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html", site: st
     boxed = rooted.withColumn("box", box)
     p = _Page(nodes, F.col("root"), F.col("box"))
     title = F.coalesce(_first(nodes, lambda n: _fits(n, "h1#firstHeading")), _first(nodes, lambda n: n["tag"] == "title"))
-    lists = {"sections": p.sections(), "infobox": p.infobox(), "tables": p.tables(), "images": p.images(site), "hrefs": p.hrefs(), "categories": p.categories()}
+    lists = {"sections": p.sections(empty), "infobox": p.infobox(), "tables": p.tables(), "images": p.images(site), "hrefs": p.hrefs(), "categories": p.categories()}
     found = boxed.select(key, p.text(title).alias("title"), *[F.when(p.root.isNotNull(), c).alias(n) for n, c in lists.items()], "error", p.root.isNull().alias("rootless"))
     full = found.select(key, "title", *[F.coalesce(n, F.array().cast(kind)).cast(kind).alias(n) for n, kind in TYPES.items()], F.coalesce("error", F.when(F.col("rootless"), "no content element")).alias("error"))
     said = F.concat(F.col("sections")["text"], F.col("tables"), F.col("infobox")["v"])

@@ -39,3 +39,9 @@ def test_titles_cut_off_in_an_entity_equal_sql(spark, sf, tmp_path, name):
     pages = [{"page_id": i, "url": f"https://a.example/w/{i}", "html": f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p>x &quot;y&quot; <a href=\"/z\">z</a></p></article></body></html>"} for i, t in enumerate(titles)]
     here = _tables(tmp_path, sf, pages=pages)
     assert compare(spark, connection(here), QUERIES[name], ORACLES[name], here) is None
+
+
+def test_wiki_markup_of_texts_that_say_nothing_equals_sql(spark, sf, tmp_path):
+    texts = ["One two.", None, "", " \n", "<&>", "\x1c 　", "​"]
+    here = _tables(tmp_path, sf, documents=[{"doc_id": i, "text": t, "lang": "en", "source": f"src{i}", "n_chars": len(t or "")} for i, t in enumerate(texts)])
+    assert compare(spark, connection(here), QUERIES["html_wiki_markup"], ORACLES["html_wiki_markup"], here) is None

@@ -12,6 +12,8 @@ from .registry import query, table
 
 ALPHAS = (0.5, 0.6, 0.7, 0.8, 0.9)
 KINDS = (1, 3, 5)
+#: Bytes of passages, and of a row beside its passage, that are broadcast at once.
+PASSAGE_BYTES, ROW_BYTES = 64_000_000, 64
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 BM25 = rf"""
@@ -229,13 +231,20 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, wanted): documents in which a benchmark text stands word for word, found through its rarest word.
 
     The index says which word that is and which documents hold it; the rest of the
-    text is compared in the join's condition.
+    text is compared in the join's condition. Candidates are sent to the documents,
+    a pass for each PASSAGE_BYTES of them, so that no document is shuffled.
     """
     docs, items, index = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stored_index(spark, sf_dir)
     asked = items.select("item_id", F.col("text").alias("passage"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     rare = asked.join(postings.weights(index, asked), "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("passage").alias("passage"))
-    found = postings.documents_of(index, rare).select("item_id", "passage", "doc_id")
-    return found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", F.col("doc_id").alias("wanted"))
+    found = kept(postings.documents_of(index, rare).select("item_id", "passage", "doc_id"), "gold-candidates")
+    passes = max(1, -(-(found.agg(F.sum(F.octet_length("passage") + ROW_BYTES)).first()[0] or 0) // PASSAGE_BYTES))
+    out = None
+    for nth in range(passes):
+        own = found if passes == 1 else found.where(F.pmod(F.xxhash64("item_id", "doc_id"), F.lit(passes)) == nth)
+        met = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", F.col("doc_id").alias("wanted"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 GOLD = "gold AS (SELECT item_id, doc_id AS wanted FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

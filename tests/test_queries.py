@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from siftwell.plans import search_queries
 from siftwell.plans.registry import ORACLES, QUERIES
 
 import siftwell.plans  # noqa: F401
@@ -45,3 +46,20 @@ def test_wiki_markup_of_texts_that_say_nothing_equals_sql(spark, sf, tmp_path):
     texts = ["One two.", None, "", " \n", "<&>", "\x1c 　", "​"]
     here = _tables(tmp_path, sf, documents=[{"doc_id": i, "text": t, "lang": "en", "source": f"src{i}", "n_chars": len(t or "")} for i, t in enumerate(texts)])
     assert compare(spark, connection(here), QUERIES["html_wiki_markup"], ORACLES["html_wiki_markup"], here) is None
+
+
+@pytest.mark.parametrize("at_once", [search_queries.PASSAGE_BYTES, 2000])
+def test_gold_passages_shuffle_no_document(spark, sf, con, monkeypatch, at_once):
+    monkeypatch.setattr(search_queries, "PASSAGE_BYTES", at_once)
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in limits:  # as if all were too large
+        spark.conf.set(name, "-1")
+    try:
+        found = search_queries.gold(spark, sf)
+        rows = sorted(tuple(r) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert rows and rows == sorted(con.sql("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)").fetchall())
+    assert "Exchange hashpartitioning" not in plan and (plan.count("BroadcastExchange") > 2) == (at_once == 2000)

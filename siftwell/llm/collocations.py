@@ -3,10 +3,13 @@
 Three passes over the texts. The first counts words, and how often words and
 phrases fall into the buckets of tables of hashes. A phrase can be frequent only if
 its bucket is, and so are the buckets of all words and phrases in it; the second
-pass gathers those that occur, the candidates. The third counts them: a double-array trie of the
-candidates is broadcast, numpy advances the states of all text positions together,
+pass gathers those that occur, with their numbers in each task, and those whose
+numbers reach least together are the candidates. So however full the tables are,
+no more are counted than there are frequent phrases. The third counts them: double-array tries of the
+candidates are broadcast, numpy advances the states of all text positions together,
 a word a level, and counts accepting states; the tasks' counts are summed in
-shards. More candidates than a trie may hold are counted in several passes.
+shards. More candidates than a trie may hold go into several tries, and more than a few
+tries into several passes.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +42,8 @@ HELD = 250_000
 BATCH_WORDS = 250_000
 #: Candidates travel in so many shards, a row a shard and task, and each shard is gathered in one task.
 GATHERED = 4096
-#: Candidates in a trie.
-CANDIDATES = 300_000
+#: Candidates in a trie, and tries in a pass.
+CANDIDATES, TRIES = 1_000_000, 3
 #: Long texts are read in parts of so many bytes, cut between words.
 PART_BYTES = 1_000_000
 
@@ -199,8 +203,8 @@ def frequent_buckets(counted: DataFrame, least: int = LEAST, longest: int = LONG
     return out
 
 
-def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
-    """Second pass: (lang, phrase), distinct: phrases that occur and whose bucket and phrases within may be frequent."""
+def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """Second pass: (lang, phrase), distinct: phrases whose bucket and phrases within may be frequent, and that all tasks together gather least times."""
     bits = docs.sparkSession.sparkContext.broadcast([np.packbits(t) for t in tables])
     buckets = len(tables[0])
 
@@ -212,18 +216,21 @@ def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", la
             return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
         def told() -> Iterator[pa.RecordBatch]:
-            shards: dict[int, list[bytes]] = {}
+            shards: dict[int, tuple[list[bytes], list[int]]] = {}
             for name, own in held.items():
                 before = name.encode() + END
-                for phrase in own:
-                    shards.setdefault(crc32(phrase) % GATHERED, []).append(before + phrase)
-            yield pa.RecordBatch.from_arrays([pa.array(list(shards.keys()), pa.int32()), pa.array(list(shards.values()), pa.list_(pa.binary()))], names=["shard", "phrases"])
+                for phrase, n in own.items():
+                    phrases, times = shards.setdefault(crc32(phrase) % GATHERED, ([], []))
+                    phrases.append(before + phrase)
+                    times.append(n)
+            phrases, times = zip(*shards.values()) if shards else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(shards.keys()), pa.int32()), pa.array(phrases, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=["shard", "phrases", "times"])
             held.clear()
 
         for batch in _batches(batches, longest):
             names = sorted({name for name, _, _ in batch.texts})
             own, langs, fit = batch.own(), batch.each({name: i for i, name in enumerate(names)}), None
-            sets = [held.setdefault(name, set()) for name in names]
+            counters = [held.setdefault(name, Counter()) for name in names]
             for k, h in enumerate(_hashes(batch, longest)):
                 now = h > 0
                 if k < len(tables):
@@ -234,75 +241,111 @@ def candidates(docs: DataFrame, tables: list[np.ndarray], text: str = "text", la
                 if not k:  # words are counted already
                     continue
                 at = np.flatnonzero(now & own[: len(now)])
-                for i, lang in zip(at.tolist(), langs[at].tolist()):
-                    sets[lang].add(b" ".join(batch.words[i : i + k + 1]))
+                at = at[np.argsort(langs[at], kind="stable")]
+                for some in np.split(at, np.flatnonzero(np.diff(langs[at])) + 1):
+                    if len(some):
+                        counters[langs[some[0]]].update([b" ".join(batch.words[i : i + k + 1]) for i in some.tolist()])
             if sum(map(len, held.values())) > HELD:
                 yield from told()
         yield from told()
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set[bytes]] = {}
+        now, found = -1, {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            parts = [x.rsplit(END, 1) for x, n in found.items() if n >= least]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())], names=["lang", "phrase"])
+
         for batch in batches:
-            for shard, phrases in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(shard, set()).update(phrases.values.to_pylist())
-        for own in found.values():
-            parts = [x.rsplit(END, 1) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())], names=["lang", "phrase"])
+            for shard, phrases, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if shard != now:
+                    yield from told()
+                    now, found = shard, {}
+                for phrase, n in zip(phrases.values.to_pylist(), times.values.to_pylist()):
+                    found[phrase] = found.get(phrase, 0) + n
+        yield from told()
 
-    shards = _rows(docs, text, lang).mapInArrow(gathered, "shard int, phrases array<binary>")
-    return shards.repartition(F.col("shard")).mapInArrow(united, "lang string, phrase binary")
+    shards = _rows(docs, text, lang).mapInArrow(gathered, "shard int, phrases array<binary>, times array<bigint>")
+    return shards.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(united, "lang string, phrase binary")
 
 
-def counts(docs: DataFrame, wanted: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, limit: int = CANDIDATES) -> DataFrame:
-    """Third pass: (lang, phrase, f) of those wanted that occur least times or more; a pass for each limit of them."""
-    passes = max(1, -(-wanted.count() // limit))
-    # by hash, a few more than limit may meet in one pass
-    dealt = wanted.withColumn("nth", F.pmod(F.xxhash64("lang", "phrase"), F.lit(passes)))
+def counts(docs: DataFrame, wanted: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, limit: int = CANDIDATES, tries: int = TRIES) -> DataFrame:
+    """Third pass: (lang, phrase, f) of those wanted that occur least times or more; a trie for each limit of them, a pass for so many tries."""
+    parts = max(1, -(-wanted.count() // limit))
+    # by hash, a few more than limit may meet in one trie
+    dealt = wanted.withColumn("nth", F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)))
+    each = [dealt.where(F.col("nth") == nth).select("lang", "phrase") for nth in range(parts)]
     out = None
-    for nth in range(passes):
-        own = [(r.lang, r.phrase) for r in dealt.where(F.col("nth") == nth).select("lang", "phrase").toLocalIterator()]
-        found = materialize(_counted(docs, own, text, lang, longest, least), "collocation-counts")
+    for first in range(0, parts, tries):
+        found = materialize(_counted(docs, each[first : first + tries], text, lang, longest, least), "collocation-counts")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _counted(docs: DataFrame, own: list[tuple[str, bytes]], text: str, lang: str, longest: int, least: int) -> DataFrame:
+def _coded(own: pa.Table, code: dict[bytes, int], roots: dict[str, int], longest: int) -> np.ndarray:
+    """Codes of languages and words of phrases, a row each; new ones get the next codes."""
+    after = len(code) + len(roots) + 1
+    names, split = (c.combine_chunks() for c in (own.column(0), pc.split_pattern(own.column(1).cast(pa.string()), " ")))
+    names, words, lens = names.dictionary_encode(), split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    for known, new in ((roots, names.dictionary.to_pylist()), (code, words.dictionary.cast(pa.binary()).to_pylist())):
+        for x in new:
+            if known.setdefault(x, after) == after:
+                after += 1
+    sequences = np.zeros((len(lens), longest + 1), dtype=np.int32)
+    sequences[:, 0] = np.array([roots[x] for x in names.dictionary.to_pylist()], dtype=np.int32)[names.indices.to_numpy()]
+    row = np.repeat(np.arange(len(lens)), lens)
+    sequences[row, np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + 1] = np.array([code[x] for x in words.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int32)[words.indices.to_numpy()]
+    return sequences
+
+
+def _counted(docs: DataFrame, each: list[DataFrame], text: str, lang: str, longest: int, least: int) -> DataFrame:
     spark = docs.sparkSession
-    code: dict[bytes, int] = {}
-    for _, phrase in own:
-        for w in phrase.split(b" "):
-            code.setdefault(w, len(code) + 1)
-    roots = {name: len(code) + 1 + i for i, name in enumerate(sorted({name for name, _ in own}))}
-    sequences = np.zeros((len(own), longest + 1), dtype=np.int32)
-    for row, (name, phrase) in zip(sequences, own):
-        found = [code[w] for w in phrase.split(b" ")]
-        row[0], row[1 : len(found) + 1] = roots[name], found
-    trie = Trie(sequences)
-    sent = spark.sparkContext.broadcast((code, roots, trie))
-    size = trie.size
+    code, roots, tries, names, begins = {}, {}, [], None, [0]
+    for some in each:
+        own = some.toArrow()
+        trie = Trie(_coded(own, code, roots, longest)) if len(own) else Trie(np.zeros((0, longest + 1), dtype=np.int32))
+        named = pa.table({"name": own.column(0), "words": own.column(1), "its": pa.array(trie.nodes + begins[-1], pa.int64())})
+        named = materialize(spark.createDataFrame(named), "collocation-names")
+        names = named if names is None else names.unionByName(named)
+        tries.append(trie)
+        begins.append(-(-(begins[-1] + trie.size) // SHARD) * SHARD)  # each trie begins a shard
+    sent = spark.sparkContext.broadcast((code, roots, tries))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, roots, trie = sent.value
-        total = np.zeros(size, dtype=np.int64)
+        code, roots, tries = sent.value
+        totals, held = [np.zeros(t.size, dtype=np.int64) for t in tries], [[] for _ in tries]
         known = code.get
+
+        def add(nth: int) -> None:
+            if held[nth]:
+                totals[nth] += np.bincount(np.concatenate(held[nth]), minlength=len(totals[nth]))
+                held[nth].clear()
+
         for batch in _batches(batches, longest):
-            codes = np.fromiter((known(w, 0) for w in batch.words), dtype=np.int64, count=len(batch.words))
-            begin = batch.each(roots)
-            at = np.flatnonzero((codes > 0) & (begin > 0) & batch.own())
-            there, states = trie.step(np.full(len(at), trie.root), begin[at])
-            at = at[there]
-            for k in range(longest):
-                inside = at + k < len(codes)
-                at, states = at[inside], states[inside]
-                there, states = trie.step(states, codes[at + k])
+            all_codes = np.fromiter((known(w, 0) for w in batch.words), dtype=np.int64, count=len(batch.words))
+            all_begin, mine = batch.each(roots), batch.own()
+            for nth, trie in enumerate(tries):
+                codes, begin = (np.where(c <= trie.codes, c, 0) for c in (all_codes, all_begin))
+                at = np.flatnonzero((codes > 0) & (begin > 0) & mine)
+                there, states = trie.step(np.full(len(at), trie.root), begin[at])
                 at = at[there]
-                if not len(at):
-                    break
-                total += np.bincount(states, minlength=size)
-        for shard in range(0, size, SHARD):
-            part = total[shard : shard + SHARD]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([shard // SHARD], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["shard", "counts"])
+                for k in range(longest):
+                    inside = at + k < len(codes)
+                    at, states = at[inside], states[inside]
+                    there, states = trie.step(states, codes[at + k])
+                    at = at[there]
+                    if not len(at):
+                        break
+                    held[nth].append(states.astype(np.int32))
+                if sum(map(len, held[nth])) > trie.size:  # so that counting costs no more than the states
+                    add(nth)
+        for nth, (total, begin) in enumerate(zip(totals, begins)):
+            add(nth)
+            for shard in range(0, len(total), SHARD):
+                part = total[shard : shard + SHARD]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([(begin + shard) // SHARD], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["shard", "counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -316,7 +359,6 @@ def _counted(docs: DataFrame, own: list[tuple[str, bytes]], text: str, lang: str
 
     shards = _rows(docs, text, lang).mapInArrow(counted, "shard int, counts binary")
     sums = shards.repartition(F.col("shard")).mapInArrow(summed, "node bigint, f bigint")
-    names = spark.createDataFrame(pa.table({"name": pa.array([x[0] for x in own], pa.string()), "words": pa.array([x[1] for x in own], pa.binary()), "its": pa.array(trie.nodes, pa.int64())}))
     return sums.join(names, F.col("node") == F.col("its")).select(F.col("name").alias("lang"), F.col("words").alias("phrase"), "f")
 
 
@@ -350,7 +392,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     alone = counted.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     totals = materialize(counted.where("phrase IS NOT NULL").groupBy("lang").agg(F.sum("f").alias("n")), "collocation-totals")
     alone = materialize(alone.where(F.col("f") >= least), "collocation-frequent-words")
-    wanted = materialize(candidates(docs, frequent_buckets(counted, least, longest, buckets), text, lang, longest), "collocation-candidates")
+    wanted = materialize(candidates(docs, frequent_buckets(counted, least, longest, buckets), text, lang, longest, least), "collocation-candidates")
     discard(counted)
     phrases = counts(docs, wanted, text, lang, longest, least, limit)
     frequent = materialize(alone.unionByName(phrases).select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "collocation-frequent")

@@ -21,7 +21,7 @@ class Trie:
         parent, code, ends = self._plain(sequences)
         place, base = self._placed(parent, code)
         self.size = int(place.max()) + 2 * self.codes + 1
-        self.base, self.check = np.zeros(self.size, dtype=np.int64), np.full(self.size, -1, dtype=np.int64)
+        self.base, self.check = np.zeros(self.size, dtype=np.int32), np.full(self.size, -1, dtype=np.int32)
         self.base[place] = base
         self.check[place[1:]] = place[parent[1:]]
         self.root, self.nodes = int(place[0]), place[ends]

@@ -62,6 +62,31 @@ def test_equals_the_definition(spark, options):
     assert got == want and len(want) > 8
 
 
+def test_candidates_are_frequent_however_full_the_tables_are(spark):
+    rows = texts(5)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    full = [np.ones(1, dtype=bool)] * 5
+    got = sorted((r.lang, bytes(r.phrase).decode()) for r in C.candidates(docs, full, least=9).collect())
+    f = Counter()
+    for lang, text in rows:
+        for w in pieces(text):
+            f.update((lang or "und", " ".join(w[i : i + k])) for k in range(2, 6) for i in range(len(w) - k + 1))
+    assert got == sorted(p for p, n in f.items() if n >= 9) and len(got) > 8
+
+
+@pytest.mark.parametrize("limit, tries", [(1000, 3), (7, 3), (7, 1), (7, 1000)])
+def test_several_tries_and_passes_count_alike(spark, limit, tries):
+    rows = texts(6)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    wanted = C.candidates(docs, [np.ones(1, dtype=bool)] * 5, least=9)
+    got = {(r.lang, bytes(r.phrase).decode()): r.f for r in C.counts(docs, wanted, least=9, limit=limit, tries=tries).collect()}
+    f = Counter()
+    for lang, text in rows:
+        for w in pieces(text):
+            f.update((lang or "und", " ".join(w[i : i + k])) for k in range(2, 6) for i in range(len(w) - k + 1))
+    assert got == {p: n for p, n in f.items() if n >= 9}
+
+
 def test_words_of_hot_passages_and_overlaps(spark):
     rows = [("en", "no no no no no. no no")] * 40 + [("en", "in spite of all that")] * 60 + [("en", "spite of")] * 40
     assert made(spark, rows, least=40) == defined(rows, 40)
